@@ -11,21 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import spread, value_bin
+from .slices import NULL_BIN, spread, value_bin
 
 
 def rank_average(df: DataFrame, by: Sequence[str], value: str, out: str, pct: bool = False) -> DataFrame:
     """Rank with ties averaged (1-based); rows with a null value get a null rank."""
     by = list(by)
-    s = spread(df.where(F.col(value).isNotNull()), keys=by, order=[value], bin=value_bin(value)).position("_pos")
-    ties = Window.partitionBy(*by, "_slice", value)
-    s = s.col(**{out: F.avg("_pos").over(ties) + 1.0})
-    ranked = s.done("_pos")
-    if pct:
-        n = df.groupBy(*by).agg(F.count(value).alias("_n"))
-        ranked = ranked.join(n, by).withColumn(out, F.col(out) / F.col("_n")).drop("_n")
-    nulls = df.where(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
-    return ranked.unionByName(nulls)
+    b = F.coalesce(value_bin(value), F.lit(NULL_BIN))
+    s = spread(df, keys=by, order=[F.asc_nulls_last(value)], bin=b).position("_pos")
+    rank = F.avg("_pos").over(Window.partitionBy(*by, "_slice", value)) + 1.0
+    s = s.col(**{out: F.when(F.col(value).isNotNull(), rank / F.col("_total") if pct else rank)})
+    return s.done("_pos")
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], out: str = "q") -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 250_000
 
-_INTERNAL = ("_bin", "_begin", "_slice", "_own")
+_INTERNAL = ("_bin", "_begin", "_slice", "_own", "_total")
 
 
 def time_bin(unit: str, column: str) -> Column:
@@ -126,8 +126,12 @@ class Series:
         return self.df.where("_own").drop(*_INTERNAL, *drop)
 
 
+NULL_BIN = 1 << 62
+
+
 def bin_map(df: DataFrame, keys: Sequence[str], rows: int, back: int = 0, ahead: int = 0) -> DataFrame:
-    """(keys, _bin) -> _begin and the slices that need the bin. ``df`` carries ``_bin``."""
+    """(keys, _bin) -> _begin, the slices that need the bin and the rows of the key outside the
+    null bin. ``df`` carries ``_bin``."""
     keys = list(keys)
     counts = df.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_bin")
@@ -136,7 +140,10 @@ def bin_map(df: DataFrame, keys: Sequence[str], rows: int, back: int = 0, ahead:
     m = m.withColumn("_slice", F.floor(F.col("_begin") / F.lit(rows)).cast("long"))
     own = F.struct(F.col("_slice"), F.lit(True).alias("_own"))
     if not back and not ahead:
-        return m.select(*keys, "_bin", "_begin", F.array(own).alias("_to"))
+        total = F.sum(F.when(F.col("_bin") == F.lit(NULL_BIN), 0).otherwise(F.col("_n"))).over(Window.partitionBy(*keys))
+        if dict(df.dtypes)["_bin"] != "bigint":
+            total = F.sum("_n").over(Window.partitionBy(*keys))
+        return m.select(*keys, "_bin", "_begin", total.alias("_total"), F.array(own).alias("_to"))
     ws = Window.partitionBy(*keys, "_slice")
     m = m.withColumn("_s0", F.min("_begin").over(ws)).withColumn("_s1", F.max(F.col("_begin") + F.col("_n")).over(ws))
     m = m.withColumn("_d", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_slice")))
@@ -167,8 +174,7 @@ def spread(
     """Cut each series of ``df`` into slices; ``bin`` is a date_trunc unit of the first order
     column or any column that never decreases along the order."""
     rows = max(rows or ROWS_PER_SLICE, back, ahead, 1)
-    first = order[0]
-    b = time_bin(bin, first) if isinstance(bin, str) else bin
+    b = time_bin(bin, order[0]) if isinstance(bin, str) else bin
     df = df.withColumn("_bin", b)
     m = bin_map(df, keys, rows, back, ahead)
     j = df.join(m, list(keys) + ["_bin"])
@@ -202,21 +208,32 @@ def affine(df: DataFrame, a: Column, b: Column, w, reach: int, out: str) -> Data
     return df.withColumn(out, F.col("_b")).drop("_a", "_b")
 
 
-def ema(df: DataFrame, value: str, w, out: str, span: float | None = None, alpha: float | None = None) -> DataFrame:
-    """Exponential mean, seeded with the first value of the series (adjust=False).
+def emas(df: DataFrame, w, specs: Sequence[tuple[str, float, str]]) -> DataFrame:
+    """Exponential means seeded with the first value (adjust=False): (value, alpha, out) each.
 
-    A row is a seed when no row precedes it in the series, which ``_begin`` and the row number tell.
+    y[t] = sum of (1-alpha)^j * b[t-j] with b = alpha*x, or x on the first row of the window, so
+    one lag per doubling round is enough; all means advance in the same round and share the sort.
+    The halo must hold :func:`decay_rows` rows, beyond which weights vanish in double precision.
     """
-    alpha = alpha if alpha is not None else 2.0 / (span + 1)
-    seed = (F.first("_begin").over(w) == 0) & (F.row_number().over(w) == 1)
-    df = df.withColumn("_seed", seed)
-    # rows before the halo carry a weight below double precision, so a slice may start from its first row
-    start = F.col("_seed") | (F.row_number().over(w) == 1)
-    df = df.withColumn("_start", start)
-    v = F.col(value).cast("double")
-    df = affine(df, F.when(F.col("_start"), 0.0).otherwise(1 - alpha),
-                F.when(F.col("_start"), v).otherwise(alpha * v), w, decay_rows(alpha) + 1, out)
-    return df.drop("_seed", "_start")
+    first = F.row_number().over(w) == 1
+    df = df.withColumn("_first", first)
+    df = df.withColumns({o: F.when(F.col("_first"), F.col(v).cast("double")).otherwise(F.lit(a) * F.col(v)) for v, a, o in specs})
+    k = 1
+    reach = {o: decay_rows(a) + 1 for _, a, o in specs}
+    while any(k < r for r in reach.values()):
+        df = df.withColumns({o: F.col(o) + F.lit((1 - a) ** k) * F.coalesce(F.lag(o, k).over(w), F.lit(0.0))
+                             for _, a, o in specs if k < reach[o]})
+        k *= 2
+    return df.drop("_first")
+
+
+def span(n: float) -> float:
+    return 2.0 / (n + 1)
+
+
+def ema_back(*spans: float) -> int:
+    """Halo rows for exponential means applied one after the other."""
+    return sum(decay_rows(span(n)) + 1 for n in spans)
 
 
 def affine_run(df: DataFrame, a: Column, b: Column, out: str, keys=("symbol",), order=("ts",),
