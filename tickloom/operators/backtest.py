@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..core.folds import fold_sorted
 from ..core.ranking import quantiles
 from ..core.slices import over_rows, spread
+from ..session import durable
 from . import strategies as S
 
 C = F.col
@@ -41,7 +42,8 @@ def positions(signals: DataFrame, keys: Sequence[str] = ("symbol",), capital: fl
         "held": F.coalesce(F.lag("_want", 1).over(w), F.lit(0)), "_was": F.coalesce(F.lag("_want", 2).over(w), F.lit(0)),
         "_size": F.greatest(F.lit(1), F.floor(F.lit(capital * 0.1) / F.lag("close", 1).over(w))).cast("double")}))
     s = s.col(_buy=(C("held") == 1) & (C("_was") == 0), _sell=(C("held") == 0) & (C("_was") == 1))
-    s = s.run(_lot=("last", F.when(C("_buy"), C("_size"))))
+    # each running aggregate reads its input twice: cut the lineage between them
+    s = s._with(durable(s.df)).run(_lot=("last", F.when(C("_buy"), C("_size"))))
     price = slip(C("open"), C("_buy"), *slippage)
     s = s.col(fill_qty=F.when(C("_buy"), C("_lot")).when(C("_sell"), -C("_lot")), fill_price=F.when(C("_buy") | C("_sell"), price))
     s = s.col(fee=F.when(C("fill_qty").isNotNull(), commission(C("fill_price"), F.abs("fill_qty"), *fees)))
@@ -103,10 +105,10 @@ def walk_forward_splits(bars: DataFrame, splits: int = 5, train: float = 0.7) ->
 
 def walk_forward(signals: DataFrame, splits: int = 5, train: float = 0.7) -> DataFrame:
     """Metrics of the signal backtest on every (symbol, split, role)."""
-    d = walk_forward_splits(signals, splits, train)
+    d = durable(walk_forward_splits(signals, splits, train))
     g = ["symbol", "split", "role"]
-    pos = positions(d, g)
-    return metrics(equity(pos, g, g), pos, g, g)
+    pos = durable(positions(d, g))
+    return metrics(durable(equity(pos, g, g)), pos, g, g)
 
 
 def order_fills(orders: DataFrame, bars: DataFrame) -> DataFrame:

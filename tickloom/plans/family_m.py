@@ -37,7 +37,7 @@ def holdings(spark, d):
 
 
 @query("m02_exposure_check", "portfolio exposure:6 ok", HOLD + """, result AS (
-  SELECT portfolio, sum(abs(value)) / max(portfolio_value) AS exposure, sum(abs(value)) / max(portfolio_value) <= 1.1 AS ok FROM pv GROUP BY portfolio)""".replace("HOLD", ""))
+  SELECT portfolio, sum(abs(value)) / max(portfolio_value) AS exposure, sum(abs(value)) / max(portfolio_value) <= 1.1 AS ok FROM pv GROUP BY portfolio)""")
 def m02(spark, d):
     return R.exposure_check(holdings(spark, d), 1.1)
 
@@ -70,7 +70,7 @@ def m06(spark, d):
     return R.concentration(holdings(spark, d))
 
 
-@query("m07_position_sizing", "c_custkey# size:6 vol_size:6 kelly:8 rejected", """
+@query("m07_position_sizing", "c_custkey# size:9 vol_size:9 kelly:8 rejected", """
 c AS (SELECT c_custkey, c_acctbal AS equity, (c_nationkey + 1) / 100.0::DOUBLE AS risk_pct, c_custkey % 7 AS stop, c_nationkey / 25.0::DOUBLE AS wr, 1 + c_custkey % 3 AS ratio FROM customer),
 result AS (SELECT c_custkey, CASE WHEN equity > 0 AND stop > 0 THEN equity * risk_pct / stop END AS size, CASE WHEN equity > 0 AND stop > 0 THEN equity * risk_pct / (stop * 2) END AS vol_size,
   least(greatest((wr * ratio - (1 - wr)) / ratio * 0.5, 0), 1) AS kelly, NOT (equity > 0 AND stop > 0) AS rejected FROM c)""")
@@ -85,11 +85,11 @@ def m07(spark, d):
 
 
 STOPS = BARS + f""",
-{TR}, at AS (SELECT symbol, ts, {roll('avg(tr)', 14)} AS atr FROM t1),
+{TR}, atx AS (SELECT symbol, ts, {roll('avg(tr)', 14)} AS atr FROM t1),
 ps AS (SELECT symbol || '/' || ts AS id, symbol, ts AS entry_ts, close AS entry_price, CASE WHEN volume % 2 = 0 THEN 'long' ELSE 'short' END AS side,
   CAST(ts + INTERVAL 90 DAY AS DATE) AS horizon FROM bars WHERE volume % 10 = 0),
 pt AS (SELECT id, p.symbol, side, entry_price, b.ts, b.close, atr, max(b.close) OVER f AS hi, min(b.close) OVER f AS lo, row_number() OVER f AS held
-  FROM ps p JOIN bars b ON p.symbol = b.symbol AND b.ts > entry_ts AND b.ts <= horizon JOIN at a ON a.symbol = b.symbol AND a.ts = b.ts
+  FROM ps p JOIN bars b ON p.symbol = b.symbol AND b.ts > entry_ts AND b.ts <= horizon JOIN atx a ON a.symbol = b.symbol AND a.ts = b.ts
   WINDOW f AS (PARTITION BY id ORDER BY b.ts)),
 pb AS (SELECT *, CASE WHEN side = 'long' THEN greatest(entry_price, hi) ELSE least(entry_price, lo) END AS best, CASE WHEN side = 'long' THEN 1 ELSE -1 END AS s FROM pt),
 lv AS (SELECT *, entry_price - s * entry_price * 0.05 AS fs, best - s * best * 0.1 AS trs, best - s * atr * 2.0 AS ats FROM pb),
