@@ -227,6 +227,17 @@ def emas(df: DataFrame, w, specs: Sequence[tuple[str, float, str]]) -> DataFrame
     return df.drop("_first")
 
 
+def decayed_sums(df: DataFrame, w, specs: Sequence[tuple[str, float, str]], floor: float = 1e-17) -> DataFrame:
+    """sum over earlier rows of decay^age * value: (value, decay, out) each, nulls adding nothing."""
+    df = df.withColumns({o: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v, _, o in specs})
+    reach = {o: decay_rows(1 - l, floor) for _, l, o in specs}
+    k = 1
+    while any(k < r for r in reach.values()):
+        df = df.withColumns({o: F.col(o) + F.lit(l ** k) * F.coalesce(F.lag(o, k).over(w), F.lit(0.0)) for _, l, o in specs if k < reach[o]})
+        k *= 2
+    return df
+
+
 def span(n: float) -> float:
     return 2.0 / (n + 1)
 

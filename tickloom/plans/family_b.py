@@ -43,7 +43,7 @@ def b03(spark, d):
 
 OUT = f"""o1 AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS r FROM src),
 o2 AS (SELECT symbol, avg(r) - 3 * stddev_samp(r) AS a, avg(r) + 3 * stddev_samp(r) AS b, max(r) AS hi, min(r) AS lo, arg_min(close, ts) AS c0 FROM o1 GROUP BY symbol),
-o3 AS (SELECT o1.*, c0, hi > b OR lo < a AS anyout, sum(ln(1 + least(greatest(r, a), b))) OVER ({W}) AS g FROM o1 JOIN o2 USING (symbol)),
+o3 AS (SELECT o1.*, c0, hi > b OR lo < a AS anyout, sum(CASE WHEN r IS NOT NULL THEN ln(1 + least(greatest(r, a), b)) END) OVER ({W}) AS g FROM o1 JOIN o2 USING (symbol)),
 clipped AS (SELECT * EXCLUDE (close), CASE WHEN anyout AND r IS NOT NULL THEN c0 * exp(g) ELSE close END AS close FROM o3)"""
 
 
@@ -70,7 +70,7 @@ def b06(spark, d):
     return K.preprocess(b, k=3.0).withColumn("close", F.log("close"))
 
 
-@query("b07_adjust_splits", "symbol ts! close:8 volume:2", BARS + """,
+@query("b07_adjust_splits", "symbol ts! close:10 volume:2", BARS + """,
 sp AS (SELECT DISTINCT p_brand AS symbol, DATE '1997-06-01' AS date, 2.0 AS ratio FROM part WHERE p_size % 2 = 0
   UNION ALL SELECT DISTINCT p_brand, DATE '1999-06-01', 4.0 FROM part UNION ALL SELECT DISTINCT p_brand, DATE '2000-01-01', 0.0 FROM part),
 f AS (SELECT symbol, ts, close, volume, product(ratio) AS f FROM (SELECT b.*, s.ratio FROM bars b LEFT JOIN sp s ON b.symbol = s.symbol AND b.ts < s.date AND s.ratio NOT IN (0, 1)) GROUP BY ALL),
