@@ -229,3 +229,15 @@ def ml_features(bars: DataFrame, lags: Sequence[int] = (1, 5, 10, 21),
 
     back = max([ema_back(26, 9), *lags, *[b for b, _ in custom.values()]])
     return over_rows(bars, f, back=back)
+
+
+def watch_list(bars: DataFrame, n: int = 252) -> DataFrame:
+    """Latest row per symbol: price, change, 52-week range, RSI and the side of MACD."""
+    def f(d, w):
+        fr = w.rowsBetween(-(n - 1), 0)
+        d = _macd(_rsi(d, w), w)
+        return d.withColumns({"change": change("close", 1, w), "high_52w": F.max("high").over(fr), "low_52w": F.min("low").over(fr),
+                              "macd_side": F.when(C("macd") > C("macd_signal"), "above").otherwise("below")})
+    d = over_rows(bars, f, back=ema_back(26, 9))
+    cols = ["close", "change", "high_52w", "low_52w", "rsi", "macd_side"]
+    return d.groupBy("symbol").agg(*[F.max_by(c, "ts").alias("price" if c == "close" else c) for c in cols])
