@@ -319,7 +319,7 @@ def s27(spark, d):
     return T.similarity_to_prior(v, "source", "doc_id")
 
 
-@query("s28_vocabulary_change", "doc_id# source change_score:8 new_terms removed_terms", r"""v AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '\b[a-z]+\b')) AS v FROM documents),
+@query("s28_vocabulary_change", "doc_id# source change_score:8 new_terms removed_terms", r"""v AS (SELECT doc_id, source, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]+'))) AS v FROM documents),
 p AS (SELECT *, lag(v) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM v),
 c AS (SELECT *, 1 - CASE WHEN len(list_distinct(list_concat(v, p))) > 0 THEN len(list_intersect(v, p)) / len(list_distinct(list_concat(v, p))) ELSE 0 END AS change_score FROM p WHERE p IS NOT NULL),
 result AS (SELECT doc_id, source, change_score, array_to_string(list_sort(list_filter(v, lambda x: NOT list_contains(p, x)))[1:50], ' ') AS new_terms,
@@ -333,7 +333,7 @@ KEYW = ["the", "le", "und"]
 
 
 @query("s29_risk_sentiment", "doc_id# risk_score:7", VEC + """, kw AS (SELECT word AS k, vector AS kv FROM vec WHERE word IN ('the', 'le', 'und')),
-nr AS (SELECT word, k, list_cosine_similarity(vector::DOUBLE[], kv::DOUBLE[]) AS sim FROM vec, kw WHERE list_cosine_similarity(vector::DOUBLE[], kv::DOUBLE[]) > 0.5),
+nr AS (SELECT word, k, list_cosine_similarity(vector::DOUBLE[], kv::DOUBLE[]) AS sim FROM vec, kw WHERE list_cosine_similarity(vector::DOUBLE[], kv::DOUBLE[]) > 0.5 AND NOT isnan(list_cosine_similarity(vector::DOUBLE[], kv::DOUBLE[]))),
 ss AS (SELECT doc_id, sim * n / sum(n) OVER (PARTITION BY doc_id) AS s FROM wn LEFT JOIN nr USING (word)),
 sz AS (SELECT doc_id, sum(n) AS t FROM wn GROUP BY doc_id), s2 AS (SELECT doc_id, sim * n / t AS s FROM wn JOIN nr USING (word) JOIN sz USING (doc_id)),
 tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS rn FROM s2),
@@ -414,7 +414,8 @@ tw AS (SELECT doc_id, topic, coalesce(n, 0) / total AS weight FROM tg LEFT JOIN
 
 def topic_weights(spark, d):
     t = docs(spark, d).withColumn("t", D.tokens("text")).where(F.size("t") > 0)
-    share = [F.struct(F.lit(k).alias("topic"), (F.size(F.filter("t", lambda w, k=k: F.length(w) % 4 == k)) / F.size("t")).alias("weight")) for k in range(4)]
+    of = lambda k: lambda w: F.length(w) % 4 == k
+    share = [F.struct(F.lit(k).alias("topic"), (F.size(F.filter("t", of(k))) / F.size("t")).alias("weight")) for k in range(4)]
     return t.select("doc_id", F.inline(F.array(*share)))
 
 

@@ -36,10 +36,14 @@ def entities(text) -> Column:
     out = []
     for label, pattern in (("PERCENT", r"\b\d+(?:\.\d+)?%"), ("MONEY", r"\$\d+(?:,\d{3})*(?:\.\d{2})?(?:[BM])?"),
                            ("DATE", r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}/\d{1,2}/\d{4}\b")):
-        out.append(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m, l=label: F.struct(m.alias("text"), F.lit(l).alias("label"))))
+        out.append(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), _labelled(label)))
     return F.concat(*out)
 
 
+def _labelled(label: str):
+    return lambda m: F.struct(m.alias("text"), F.lit(label).alias("label"))
+
+
 def _words(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -175,7 +179,7 @@ def filing_sections(df: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary_change(docs: DataFrame, company: str, order: str, text: str = "text", threshold: float = 0.15, top: int = 50, bin=None) -> DataFrame:
     """1 - Jaccard of consecutive vocabularies where it reaches the threshold; new and removed terms sorted."""
-    d = docs.withColumn("_v", F.array_distinct(F.regexp_extract_all(F.lower(C(text)), F.lit(r"\b[a-z]+\b"), F.lit(0))))
+    d = docs.withColumn("_v", F.array_distinct(F.filter(tokens(text), lambda t: t.rlike("^[a-z]+$"))))
     b = bin if bin is not None else F.floor(C(order) / 1_000)
     s = spread(d, back=1, keys=[company], order=[order], bin=b)
     s = s.roll(lambda x, w: x.withColumn("_p", F.lag("_v").over(w)))

@@ -25,11 +25,15 @@ def terms(df: DataFrame, key: str, text: str = "text", ngrams: tuple[int, int] =
             grams.append(C("_t"))
         else:
             at = F.sequence(F.lit(1), F.size("_t") - n + 1)
-            grams.append(F.when(F.size("_t") >= n, F.transform(at, lambda i, k=n: F.array_join(F.slice("_t", i, k), " "))).otherwise(F.array().cast("array<string>")))
+            grams.append(F.when(F.size("_t") >= n, F.transform(at, _gram(n))).otherwise(F.array().cast("array<string>")))
     all_terms = F.concat(*grams) if len(grams) > 1 else grams[0]
     return t.select(key, F.explode(all_terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
+def _gram(n: int):
+    return lambda i: F.array_join(F.slice("_t", i, n), " ")
+
+
 def vocabulary(counts: DataFrame, documents: Column | int, max_features: int = 5000, min_df: int = 1, max_df: float = 0.95) -> DataFrame:
     """The ``max_features`` most frequent terms within the document-frequency limits."""
     v = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
