@@ -337,7 +337,7 @@ nr AS (SELECT word, k, list_cosine_similarity(vector::DOUBLE[], kv::DOUBLE[]) AS
 ss AS (SELECT doc_id, sim * n / sum(n) OVER (PARTITION BY doc_id) AS s FROM wn LEFT JOIN nr USING (word)),
 sz AS (SELECT doc_id, sum(n) AS t FROM wn GROUP BY doc_id), s2 AS (SELECT doc_id, sim * n / t AS s FROM wn JOIN nr USING (word) JOIN sz USING (doc_id)),
 tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS rn FROM s2),
-result AS (SELECT doc_id, coalesce(least(sum(CASE WHEN rn <= 20 THEN s END), 1.0), 0) AS risk_score FROM documents LEFT JOIN tp USING (doc_id) GROUP BY doc_id)""")
+result AS (SELECT doc_id, least(coalesce(sum(CASE WHEN rn <= 20 THEN s END), 0), 1.0) AS risk_score FROM documents LEFT JOIN tp USING (doc_id) GROUP BY doc_id)""")
 def s29(spark, d):
     v = durable(vectors(spark, d))
     return T.risk_sentiment(docs(spark, d), v, v.where(C("word").isin(KEYW)), "doc_id")
