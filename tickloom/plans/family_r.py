@@ -88,7 +88,7 @@ def r08(spark, d):
     return M.importances(spark, models, XS)
 
 
-@query("r09_ensemble", "symbol ts! ensemble:6", BARS + """, p AS (SELECT symbol, ts, volume / 50 AS a, CASE WHEN volume % 5 <> 0 THEN 1 - volume / 50 END AS b, 1.0 / volume AS c FROM bars),
+@query("r09_ensemble", "symbol ts! ensemble:9", BARS + """, p AS (SELECT symbol, ts, volume / 50 AS a, CASE WHEN volume % 5 <> 0 THEN 1 - volume / 50 END AS b, 1.0 / volume AS c FROM bars),
 result AS (SELECT symbol, ts, (a + b + c) / 3 AS ensemble FROM p)""")
 def r09(spark, d):
     v = C("volume")

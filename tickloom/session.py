@@ -44,3 +44,14 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tickloom-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder (a temporary one only on a local master)."""
+    import uuid
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        root = tempfile.mkdtemp(prefix="tickloom-scratch-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -70,6 +70,10 @@ class BarStore:
     def _write(self, df: DataFrame) -> None:
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval", "symbol").format(self.format).save(self.path))
 
+    def exists(self) -> bool:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root)
+
     def save(self, bars: DataFrame) -> None:
         self._write(bars)
 
@@ -80,6 +84,9 @@ class BarStore:
         """Upsert: only partitions named in the batch are read and rewritten."""
         from ..session import durable
         touched = bars.select("interval", "symbol").distinct()
+        if not self.exists():
+            self._write(bars)
+            return
         old = self.load().join(touched, ["interval", "symbol"], "left_semi").select(*bars.columns)
         self._write(durable(upsert(old, bars)))
 
