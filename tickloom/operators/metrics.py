@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..core.ranking import quantiles, rank_average
 from ..core.slices import over_rows, spread
+from ..session import durable
 
 YEAR = 252
 
@@ -73,7 +74,7 @@ def kurtosis_sample(r: str) -> Column:
 
 def max_drawdown(rets: DataFrame, keys: Sequence[str], r: str = "ret") -> DataFrame:
     keys = list(keys)
-    d = spread(rets, keys=keys).run(_w=("product", 1 + F.col(r))).done()
+    d = durable(spread(rets, keys=keys).run(_w=("product", 1 + F.col(r))).done())
     d = drawdown(d, "_w", keys)
     return d.groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
 
@@ -81,6 +82,7 @@ def max_drawdown(rets: DataFrame, keys: Sequence[str], r: str = "ret") -> DataFr
 def portfolio_stats(rets: DataFrame, keys: Sequence[str] = ("symbol",), r: str = "ret", risk_free: float = 0.0) -> DataFrame:
     """The thirteen tearsheet figures per key."""
     keys = list(keys)
+    rets = durable(rets.select(*keys, "ts", r))  # read by four branches
     ex = F.col(r) - risk_free / YEAR
     x = F.col(r)
     base = rets.groupBy(*keys).agg(

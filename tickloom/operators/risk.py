@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..core.ranking import quantiles
 from ..core.slices import spread
+from ..session import durable
 from .calendar import market_open
 from .metrics import drawdown
 
@@ -45,6 +46,7 @@ def value_at_risk(returns: DataFrame, confidence: float = 0.95, method: str = "h
 
 def expected_shortfall(returns: DataFrame, confidence: float = 0.95, by: Sequence[str] = ("symbol",), r: str = "ret") -> DataFrame:
     by = list(by)
+    returns = durable(returns.select(*by, r))
     v = value_at_risk(returns, confidence, "historical", by, r)
     tail = returns.join(v, by).where(C(r) <= C("var")).groupBy(*by).agg(F.avg(r).alias("es"))
     return v.join(tail, by, "left").withColumn("es", F.coalesce("es", "var"))

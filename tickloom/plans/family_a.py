@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..sources import filings as FL
 from ..sources import logs as LG
+from ..session import scratch_folder
 from ..sources import store as S
 from .family_o import TRADES, trades
 from .inputs import BARS, bars, table
@@ -122,3 +123,21 @@ def a15(spark, d):
     pages = g.select("page_id", F.concat(F.lit("<p>x</p><table><tr><th>name</th><th>balance</th></tr>"), "b", F.lit("<tr><td>short</td></tr></table>")).alias("html"))
     t = FL.html_tables(pages)
     return t.withColumns({"name": F.col("cells")["name"], "balance": F.col("cells")["balance"]})
+
+
+def _stored(spark, d, fmt="parquet"):
+    st = S.BarStore(spark, scratch_folder(spark, "bars"), fmt)
+    st.save(bars(spark, d).withColumn("interval", F.lit("1d")))
+    return st
+
+
+@query("a08_delete_symbol", SPEC, BARS + ", result AS (SELECT * FROM bars WHERE symbol <> 'Brand#7')")
+def a08(spark, d):
+    st = _stored(spark, d)
+    st.delete("Brand#7")
+    return st.load()
+
+
+@query("a09_format_migration", SPEC, BARS + ", result AS (SELECT * FROM bars)")
+def a09(spark, d):
+    return _stored(spark, d).migrate(scratch_folder(spark, "orc"), "orc").load()

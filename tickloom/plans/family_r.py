@@ -184,3 +184,14 @@ result AS (SELECT symbol, ks, abs(m.m - n.m) AS mean_gap, abs(m.s - n.s) AS std_
 def r21(spark, d):
     b = bars(spark, d)
     return M.ks_statistic(durable(b.select("symbol", F.log("close").alias("v"))), durable(b.where("volume % 2 = 0").select("symbol", (F.log("open") + 0.1).alias("v"))), ["symbol"], "v")
+
+
+@query("r07_model_catalog", "models# model score")
+def r07(spark, d):
+    from ..session import scratch_folder
+    f = frame(spark, d)
+    root = scratch_folder(spark, "models")
+    for n in (3, 5):
+        M.save_model(M.fit(f, "up", XS, "forest", numTrees=n, maxDepth=3), f"{root}/forest{n}", {"model": f"forest{n}", "score": str(n)})
+    c = M.model_catalog(spark, root)
+    return c.select(F.lit(2).alias("models"), c.metadata["model"].alias("model"), c.metadata["score"].alias("score"))

@@ -489,3 +489,12 @@ def s42(spark, d):
 def s43(spark, d):
     w = topic_weights(spark, d).join(docs(spark, d).select("doc_id", "source"), "doc_id")
     return P.evolution(w, "source", [0, 1, 2, 3])
+
+
+@query("s31_vector_file", "word first:6 size#", VEC + """, result AS (SELECT word, vector[1] AS first, len(vector) AS size FROM vec)""")
+def s31(spark, d):
+    from ..session import scratch_folder
+    out = scratch_folder(spark, "vectors")
+    v = vectors(spark, d)
+    v.select(F.concat_ws(" ", "word", F.array_join(C("vector").cast("array<string>"), " "))).write.text(out)
+    return T.read_vectors(spark, out).select("word", C("vector")[0].alias("first"), F.size("vector").alias("size"))

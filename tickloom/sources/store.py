@@ -77,6 +77,11 @@ class BarStore:
     def save(self, bars: DataFrame) -> None:
         self._write(bars)
 
+    def replace(self, bars: DataFrame) -> None:
+        """Write the partitions named in ``bars``, which may itself read them."""
+        from ..session import durable
+        self._write(durable(bars))
+
     def load(self, symbol: str | None = None, start: str | None = None, end: str | None = None, interval: str | None = None) -> DataFrame:
         return scan(self.spark.read.format(self.format).load(self.path), symbol, start, end, interval)
 
@@ -101,8 +106,9 @@ class BarStore:
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/interval=*/symbol={symbol}")) or []:
-            fs.delete(st.getPath(), True)
+        name = "symbol=" + jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(symbol)
+        for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/interval=*")) or []:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(st.getPath(), name), True)
 
     def migrate(self, path: str, format: str) -> "BarStore":
         other = BarStore(self.spark, path, format)

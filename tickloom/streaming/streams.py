@@ -88,13 +88,26 @@ def fan_out(sinks: Mapping[str, Callable[[DataFrame, int], None]], failures: lis
 
 
 def bar_sink(store) -> Callable[[DataFrame, int], None]:
-    """Micro-batches of trades to upserted bars of a :class:`sources.store.BarStore`."""
-    from ..operators.ticks import bars_by
+    """Micro-batches of trades merged into the daily bars of a :class:`sources.store.BarStore`.
 
+    A bar split over micro-batches is completed, not replaced: open and close follow the trade
+    number, volumes add up. The newest epoch is kept with each bar, so a replayed batch changes nothing.
+    """
     def run(batch: DataFrame, epoch: int) -> None:
-        b = bars_by(batch.withColumn("day", F.to_date("ts")), ["symbol", "day"])
-        if not b.isEmpty():
-            store.put(b.withColumnRenamed("day", "ts").withColumn("interval", F.lit("1d")))
+        b = batch.groupBy("symbol", F.to_date("ts").alias("ts")).agg(
+            F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
+            F.sum("volume").alias("volume"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+        b = b.withColumns({"interval": F.lit("1d"), "epoch": F.lit(epoch).cast("long")})
+        if b.isEmpty():
+            return
+        if store.exists():
+            old = store.load().join(b.select("symbol", "interval").distinct(), ["symbol", "interval"], "left_semi").select(*b.columns)
+            done = old.where(C("epoch") >= epoch).select("symbol", "interval", "ts")
+            u = old.unionByName(b.join(done, ["symbol", "interval", "ts"], "left_anti"))
+            b = u.groupBy("symbol", "interval", "ts").agg(
+                F.min_by("open", "first_seq").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last_seq").alias("close"),
+                F.sum("volume").alias("volume"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.max("epoch").alias("epoch"))
+        store.replace(b)
     return run
 
 

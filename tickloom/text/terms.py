@@ -16,45 +16,61 @@ C = F.col
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
-def terms(df: DataFrame, key: str, text: str = "text", ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, term, n): counts per document of the n-grams of words with two or more characters."""
+def _gram(n: int):
+    return lambda i: F.array_join(F.slice("_t", i, n), " ")
+
+
+def grams(df: DataFrame, key: str, text: str = "text", ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, _g): the n-grams of the words of two or more characters, in order."""
     t = df.select(key, F.regexp_extract_all(F.lower(C(text)), F.lit(TERM), F.lit(0)).alias("_t"))
-    grams = []
+    parts = []
     for n in range(ngrams[0], ngrams[1] + 1):
         if n == 1:
-            grams.append(C("_t"))
+            parts.append(C("_t"))
         else:
             at = F.sequence(F.lit(1), F.size("_t") - n + 1)
-            grams.append(F.when(F.size("_t") >= n, F.transform(at, _gram(n))).otherwise(F.array().cast("array<string>")))
-    all_terms = F.concat(*grams) if len(grams) > 1 else grams[0]
-    return t.select(key, F.explode(all_terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+            parts.append(F.when(F.size("_t") >= n, F.transform(at, _gram(n))).otherwise(F.array().cast("array<string>")))
+    return t.select(key, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("_g"))
 
 
-def _gram(n: int):
-    return lambda i: F.array_join(F.slice("_t", i, n), " ")
+def terms(df: DataFrame, key: str, text: str = "text", ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, term, n): counts per document."""
+    return grams(df, key, text, ngrams).select(key, F.explode("_g").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+
 
+def vocabulary(g: DataFrame, documents: int, max_features: int = 5000, min_df: int = 1, max_df: float = 0.95) -> DataFrame:
+    """The ``max_features`` most frequent terms within the document-frequency limits.
 
-def vocabulary(counts: DataFrame, documents: Column | int, max_features: int = 5000, min_df: int = 1, max_df: float = 0.95) -> DataFrame:
-    """The ``max_features`` most frequent terms within the document-frequency limits."""
-    v = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
+    Total and document counts come from one explode and one map-side combined sum per term, so a
+    term found everywhere costs one row per task.
+    """
+    mark = lambda first, total, df: F.struct(first.alias("term"), F.lit(total).alias("t"), F.lit(df).alias("d"))
+    both = F.concat(F.transform("_g", lambda t: mark(t, 1, 0)), F.transform(F.array_distinct("_g"), lambda t: mark(t, 0, 1)))
+    v = g.select(F.inline(both)).groupBy("term").agg(F.sum("t").alias("total"), F.sum("d").alias("df"))
     v = v.where((C("df") >= min_df) & (C("df") <= max_df * F.lit(documents)))
     return v.orderBy(F.desc("total"), "term").limit(max_features)
 
 
+def _counts_in(g: DataFrame, v: DataFrame, key: str) -> DataFrame:
+    """Counts of vocabulary terms only: the rest is dropped before the shuffle. The vocabulary is at
+    most ``max_features`` short rows."""
+    return g.select(key, F.explode("_g").alias("term")).join(F.broadcast(v), "term").groupBy(key, *v.columns).agg(F.count("*").alias("n"))
+
+
 def bag_of_words(df: DataFrame, key: str, text: str = "text", max_features: int = 5000, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
-    c = durable(terms(df, key, text))
-    v = vocabulary(c, df.count(), max_features, min_df, max_df).select("term")
-    return c.join(F.broadcast(v), "term")  # at most max_features short rows
+    g = grams(df, key, text)
+    return _counts_in(g, vocabulary(g, df.count(), max_features, min_df, max_df).select("term"), key)
 
 
 def tfidf(df: DataFrame, key: str, text: str = "text", max_features: int = 5000, ngrams: tuple[int, int] = (1, 2), min_df: int = 1, max_df: float = 0.95) -> DataFrame:
     """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length per document."""
     n = df.count()
-    c = durable(terms(df, key, text, ngrams))
-    v = vocabulary(c, n, max_features, min_df, max_df).select("term", (F.log((1 + n) / (1 + C("df"))) + 1).alias("_idf"))
-    d = durable(c.join(F.broadcast(v), "term").withColumn("_w", C("n") * C("_idf")))
-    length = d.groupBy(key).agg(F.sqrt(F.sum(C("_w") * C("_w"))).alias("_l"))
-    return d.join(length, key).select(key, "term", (C("_w") / C("_l")).alias("weight"))
+    g = grams(df, key, text, ngrams)
+    v = vocabulary(g, n, max_features, min_df, max_df).select("term", (F.log((1 + n) / (1 + C("df"))) + 1).alias("_idf"))
+    d = _counts_in(g, v, key).withColumn("_w", C("n") * C("_idf"))
+    # a document holds at most max_features terms
+    length = F.sqrt(F.sum(C("_w") * C("_w")).over(Window.partitionBy(key)))
+    return d.select(key, "term", (C("_w") / length).alias("weight"))
 
 
 def top_terms(weights: DataFrame, k: int = 20, by: str | None = None, value: str = "weight") -> DataFrame:
