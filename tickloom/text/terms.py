@@ -16,20 +16,20 @@ C = F.col
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
-def _gram(n: int):
-    return lambda i: F.array_join(F.slice("_t", i, n), " ")
-
-
 def grams(df: DataFrame, key: str, text: str = "text", ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, _g): the n-grams of the words of two or more characters, in order."""
+    """(key, _g): the n-grams of the words of two or more characters.
+
+    A longer gram zips the shorter one with the words behind it; nothing inside the element function
+    refers to the whole array, so it is built once per document.
+    """
     t = df.select(key, F.regexp_extract_all(F.lower(C(text)), F.lit(TERM), F.lit(0)).alias("_t"))
-    parts = []
-    for n in range(ngrams[0], ngrams[1] + 1):
-        if n == 1:
-            parts.append(C("_t"))
-        else:
-            at = F.sequence(F.lit(1), F.size("_t") - n + 1)
-            parts.append(F.when(F.size("_t") >= n, F.transform(at, _gram(n))).otherwise(F.array().cast("array<string>")))
+    parts, cur = [], C("_t")
+    for n in range(1, ngrams[1] + 1):
+        if n > 1:
+            m = F.greatest(F.size("_t") - (n - 1), F.lit(0))
+            cur = F.zip_with(F.slice(cur, F.lit(1), m), F.slice(C("_t"), F.lit(n), m), lambda a, b: F.concat_ws(" ", a, b))
+        if n >= ngrams[0]:
+            parts.append(cur)
     return t.select(key, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("_g"))
 
 
