@@ -34,16 +34,18 @@ def time_bin(unit: str, column: str) -> Column:
 def value_bin(column: str | Column) -> Column:
     """A monotone bin of a number with a relative width of about two per cent."""
     c = (F.col(column) if isinstance(column, str) else column).cast("double")
-    return F.floor(F.asinh(c * F.lit(1e6)) * F.lit(50.0))
+    # asinh of the absolute value: the formula loses all digits for large negative numbers
+    return F.floor(F.signum(c) * F.asinh(F.abs(c) * F.lit(1e6)) * F.lit(50.0))
 
 
 class Series:
     """A keyed, ordered frame spread over slices. Built by :func:`spread`."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence, bins: DataFrame, halo: bool, rolled: bool = False):
         self.df = df
         self.keys = list(keys)
         self.order = [F.col(c) if isinstance(c, str) else c for c in order]
+        self.bins, self.halo, self.rolled = bins, halo, rolled
 
     @property
     def w(self):
@@ -52,12 +54,17 @@ class Series:
     def rows(self, first: int, last: int = 0):
         return self.w.rowsBetween(first, last)
 
-    def _with(self, df: DataFrame) -> "Series":
-        return Series(df, self.keys, self.order)
+    def _with(self, df: DataFrame, rolled: bool | None = None) -> "Series":
+        return Series(df, self.keys, self.order, self.bins, self.halo, self.rolled if rolled is None else rolled)
+
+    def _fresh(self) -> "Series":
+        """Hand the rows out again, so that halo rows carry the values their own slice computed."""
+        own = self.df.where("_own").drop("_begin", "_slice", "_own", "_total")
+        return self._with(_place(own, self.bins, self.keys), False)
 
     def roll(self, fn: Callable[[DataFrame, "Window"], DataFrame]) -> "Series":
         """Apply ``fn(frame, window)``; frames must stay inside the declared back/ahead."""
-        return self._with(fn(self.df, self.w))
+        return self._with(fn(self.df, self.w), True)
 
     def col(self, **cols: Column) -> "Series":
         df = self.df
@@ -72,8 +79,11 @@ class Series:
     def run(self, **specs: tuple[str, Column]) -> "Series":
         """Running aggregates from the start of the series to the current row.
 
-        Each spec is (kind, column), kind one of sum, count, max, min, product, last, first.
+        Each spec is (kind, column), kind one of sum, count, max, min, product, last, first. After a
+        roll the first halo rows hold values of incomplete frames, so the rows are handed out again.
         """
+        if self.halo and self.rolled:
+            return self._fresh().run(**specs)
         own = self.df.where("_own")
         seq = F.struct(*self.order)
 
@@ -177,9 +187,12 @@ def spread(
     b = time_bin(bin, order[0]) if isinstance(bin, str) else bin
     df = df.withColumn("_bin", b)
     m = bin_map(df, keys, rows, back, ahead)
-    j = df.join(m, list(keys) + ["_bin"])
-    j = j.withColumn("_to", F.explode("_to")).withColumns({"_slice": F.col("_to._slice"), "_own": F.col("_to._own")}).drop("_to")
-    return Series(j, keys, order)
+    return Series(_place(df, m, keys), keys, order, m, bool(back or ahead))
+
+
+def _place(df: DataFrame, bins: DataFrame, keys: Sequence[str]) -> DataFrame:
+    j = df.join(bins, list(keys) + ["_bin"]).withColumn("_to", F.explode("_to"))
+    return j.withColumns({"_slice": F.col("_to._slice"), "_own": F.col("_to._own")}).drop("_to")
 
 
 def over_rows(df: DataFrame, fn, back: int = 0, ahead: int = 0, **kw) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..core.slices import over_rows
 
@@ -83,7 +84,10 @@ class BarStore:
         self._write(durable(bars))
 
     def load(self, symbol: str | None = None, start: str | None = None, end: str | None = None, interval: str | None = None) -> DataFrame:
-        return scan(self.spark.read.format(self.format).load(self.path), symbol, start, end, interval)
+        found = self.spark.read.format(self.format).load(self.path).schema
+        # partition values stay text: "1d" would otherwise be read as a number
+        typed = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("interval", "symbol") else f for f in found.fields])
+        return scan(self.spark.read.schema(typed).format(self.format).load(self.path), symbol, start, end, interval)
 
     def put(self, bars: DataFrame) -> None:
         """Upsert: only partitions named in the batch are read and rewritten."""

@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ..core.slices import spread
 from . import lexicons as X
@@ -148,7 +149,10 @@ def participants(text) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: (F.length(n) > 0) & ~n.isin("Operator", "Conference Call"))))
 
 
-@F.pandas_udf("array<struct<metric:string,value:double,unit:string,context:string>>")
+_METRIC = Y.ArrayType(Y.StructType([Y.StructField("metric", Y.StringType()), Y.StructField("value", Y.DoubleType()), Y.StructField("unit", Y.StringType()), Y.StructField("context", Y.StringType())]))
+
+
+@F.pandas_udf(_METRIC)
 def transcript_metrics(text: pd.Series) -> pd.Series:
     """Metric mentions with 100 characters of context on either side."""
     compiled = [(k, re.compile(p, re.IGNORECASE)) for k, p in X.METRIC_PATTERNS.items()]
