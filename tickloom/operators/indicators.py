@@ -195,8 +195,17 @@ CATEGORIES = ("overlap", "momentum", "volume", "volatility")
 def compute_all(bars: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
     """Every indicator of the named categories over one exchange and one sort."""
     s: Series = spread(bars, back=ema_back(26, 9))
+    # all running aggregates in one pass, before the rolling columns
+    totals = {}
     if "overlap" in categories:
-        s = s.roll(_sma).roll(_bollinger).run(_lo=("min", C("low")))
+        totals["_lo"] = ("min", C("low"))
+    if "volume" in categories:
+        s = s.roll(_obv_step)
+        totals.update(obv=("sum", C("_obv")), ad=("sum", _clv() * C("volume")))
+    if totals:
+        s = s.run(**totals)
+    if "overlap" in categories:
+        s = s.roll(_sma).roll(_bollinger)
         s = s.roll(lambda d, w: d.withColumn("sar", F.coalesce(F.lag("_lo").over(w), C("low"))).drop("_lo"))
     if "momentum" in categories:
         for f in (_rsi, _macd, _stoch, _adx, _cci, _mfi):
@@ -204,7 +213,7 @@ def compute_all(bars: DataFrame, categories: Sequence[str] = CATEGORIES) -> Data
     elif "overlap" in categories:
         s = s.roll(lambda d, w: emas(d, w, [("close", span(12), "ema_12"), ("close", span(26), "ema_26")]))
     if "volume" in categories:
-        s = s.roll(_obv_step).run(obv=("sum", C("_obv")), ad=("sum", _clv() * C("volume"))).roll(_adosc)
+        s = s.roll(_adosc)
         s = s._with(s.df.drop("_obv"))
     if "volatility" in categories:
         s = s.roll(_atr)
