@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import mixing, preference
+from tickloom.llm import jaccard, mixing, preference
 from tickloom.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -68,3 +68,21 @@ FROM l JOIN s USING (pair_id)
 def op4_preference(spark, sf_dir):
     pairs = preference.pairs_from_answers(table(spark, sf_dir, "conversations"))
     return preference.format_pairs(pairs).select("pair_id", "n_shared", "prompt", "chosen", "rejected", _spans("chosen_spans"), _spans("rejected_spans"))
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, (len(w) - 3)::BIGINT), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS t FROM w),
+n AS MATERIALIZED (SELECT w.doc_id, count(t) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY 1),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
+"""
+
+
+@query("op3_jaccard_join", JACCARD_SQL)
+def op3_jaccard_join(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
