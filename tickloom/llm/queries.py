@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import jaccard, mixing, preference
+from tickloom.llm import jaccard, mixing, preference, suffix_array
 from tickloom.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -86,3 +86,9 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.b) AS component_id FROM n JOIN
 @query("op3_jaccard_join", JACCARD_SQL)
 def op3_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark, sf_dir):
+    out = suffix_array.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
