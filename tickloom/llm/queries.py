@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import jaccard, mixing, preference, suffix_array
+from tickloom.llm import fm_index, jaccard, mixing, preference, suffix_array
 from tickloom.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -92,3 +92,9 @@ def op3_jaccard_join(spark, sf_dir):
 def op7_suffix_dedup(spark, sf_dir):
     out = suffix_array.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    out = fm_index.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
