@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import fm_index, jaccard, mixing, preference, suffix_array
+from tickloom.llm import fm_index, jaccard, knn, mixing, preference, suffix_array
 from tickloom.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -98,3 +98,18 @@ def op7_suffix_dedup(spark, sf_dir):
 def op8_substring_dedup(spark, sf_dir):
     out = fm_index.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+KNN_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+
+@query("op5_voronoi_knn", KNN_SQL)
+def op5_voronoi_knn(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return knn.top_k(vectors, vectors.where("vec_id % 100 = 0"))
