@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import fm_index, jaccard, knn, mixing, preference, suffix_array
+from tickloom.llm import fm_index, jaccard, knn, langid, mixing, preference, suffix_array, toxicity
 from tickloom.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -113,3 +113,25 @@ SELECT * FROM r WHERE rank <= 10
 def op5_voronoi_knn(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return knn.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(_fold(3) != 1))
+    return langid.identify(docs, model).select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def grades(labels):
+    """Severity from the two labels: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    return labels.select("doc_id", (F.col("toxic") + F.when(F.col("quality") == 0, F.col("toxic")).otherwise(0)).alias("grade"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, grades(table(spark, sf_dir, "labels"))))
