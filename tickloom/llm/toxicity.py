@@ -51,7 +51,7 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 3, alpha: float = 2.0, l1: float = 4.0, l2: float = 0.1, rate: float = 0.02) -> Model:
+def fit(rows: list[tuple[int, np.ndarray]], epochs: int = 3, alpha: float = 1.0, l1: float = 4.0, l2: float = 0.1, rate: float = 0.1) -> Model:
     """``rows``: (grade from 0, sorted cells). Thresholds are those between the grades that occur."""
     grades = np.unique([g for g, _ in rows])
     rank = {g: i for i, g in enumerate(grades.tolist())}
@@ -107,7 +107,7 @@ def _scorer(model: Model):
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.25) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.3) -> DataFrame:
     """(id, severity, grade, toxic) for every row: expected severity, the nearest grade, and whether severity reaches ``reject``.
 
     Defined cases: a null or empty text has no words and gets the severity of none; a model from no rows or one grade
@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("_id").alias(id_col), "severity", F.round("severity").cast("int").alias("grade"), (F.col("severity") >= reject).alias("toxic"))
 
 
-def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject: float = 0.25) -> DataFrame:
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", reject: float = 0.3) -> DataFrame:
     """Rows of ``docs``, all columns, whose severity is below ``reject``."""
     table = np.zeros(SIZE)
     table[model.cells] = model.weights
