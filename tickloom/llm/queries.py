@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import fm_index, jaccard, knn, langid, mixing, preference, suffix_array, toxicity
+from tickloom.llm import decontamination, fm_index, jaccard, knn, langid, mixing, preference, suffix_array, toxicity
 from tickloom.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -135,3 +135,25 @@ def grades(labels):
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, grades(table(spark, sf_dir, "labels"))))
+
+
+DECONTAMINATION_SQL = r"""
+WITH iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i0 AS (SELECT item_id, len(w) AS n, unnest(range(0, (len(w) - 4)::BIGINT)) AS q, w FROM iw WHERE len(w) >= 5),
+i AS MATERIALIZED (SELECT item_id, n, q, array_to_string(w[q + 1:q + 5], ' ') AS s FROM i0),
+d0 AS (SELECT doc_id, len(w) AS m, unnest(range(0, (len(w) - 4)::BIGINT)) AS p, w FROM dw WHERE len(w) >= 5),
+d AS MATERIALIZED (SELECT doc_id, m, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM d0),
+h AS MATERIALIZED (SELECT DISTINCT d.doc_id, i.item_id, greatest(0, least(d.p - i.q, d.m - i.n)) AS start, i.n FROM d JOIN i ON d.s = i.s),
+l AS (SELECT h.*, d.s, count(*) AS c FROM h JOIN d ON d.doc_id = h.doc_id AND d.p >= h.start AND d.p <= h.start + h.n - 5 GROUP BY ALL),
+r AS (SELECT item_id, s, count(*) AS c FROM i GROUP BY ALL),
+b AS (SELECT l.doc_id, l.item_id, l.start, l.n, sum(CASE WHEN r.c IS NULL THEN 0 ELSE least(l.c, r.c) END) AS shared, sum(l.c) AS here FROM l LEFT JOIN r ON r.item_id = l.item_id AND r.s = l.s GROUP BY ALL),
+x AS (SELECT b.*, b.here + t.there - b.shared AS every FROM b JOIN (SELECT item_id, sum(c) AS there FROM r GROUP BY 1) t USING (item_id)),
+y AS (SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS n_words, shared::DOUBLE / every::DOUBLE AS similarity FROM x WHERE shared * 100 >= every * 80)
+SELECT doc_id, item_id, start, n_words, similarity FROM y QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
+
+
+@query("op2_decontamination", DECONTAMINATION_SQL)
+def op2_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
