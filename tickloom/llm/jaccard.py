@@ -2,11 +2,13 @@
 
 1. Every document is its set of k-word shingles. Documents with equal sets are copies; one of them
    stands for all.
-2. Two sets that are similar enough share a token of their prefixes in any fixed order of the tokens
-   (prefix filtering). Documents that share a prefix token, directly or through others, form a
-   cluster; no link leaves a cluster. Very common shingles come last in the order.
-3. Clusters, or pairs of blocks of large clusters, are the units that tasks solve. In a unit a
-   signature tree holds OR-combined bitmaps of the shingles and the range of set sizes in every node.
+2. In any fixed order of the tokens, two sets that are similar enough share a token of their prefixes. Take
+   the tokens that one set alone holds first. A set with enough of them has a prefix that it shares with none,
+   so it has no link. Counting the quarter of the tokens with low hashes already settles most sets; all
+   tokens are counted for the rest, and only sets with too few tokens of their own go on.
+3. Those that share a prefix token (shared tokens by rarity), directly or through others, form a cluster; no
+   link leaves a cluster. Clusters, or pairs of blocks of large clusters, are the units that tasks solve.
+   In a unit a signature tree holds OR-combined bitmaps of the shingles and the range of set sizes in every node.
    A dual traversal drops node pairs whose largest possible overlap is too small; the document
    pairs that are left are checked exactly, unless links already found connect them.
 """
@@ -18,13 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import held
 from tickloom.llm.components import components
 from tickloom.llm.textops import U, mix, pieces, shingle_sets, word_hashes
 
-CELLS = 1 << 16  #: counters that order the tokens; the order decides speed, not results
+LOW = U(1 << 62)  #: tokens below are counted first, a quarter of all; it decides speed, not results
 FANOUT = 8
 BLOCK_DOCS, BLOCK_TOKENS = 1500, 1 << 21  #: largest unit of work: documents, shingles
 
@@ -38,59 +41,56 @@ def _sets(batches, k: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
                 yield batch, i + r, s
 
 
+def _key(s: np.ndarray) -> np.ndarray:
+    """128 bits that equal sets share."""
+    if not len(s):
+        return np.zeros(2, np.uint64)
+    return np.array([np.bitwise_xor.reduce(mix(s + U(1))), s.sum(dtype=np.uint64)], np.uint64)
+
+
 def _signatures(batches, k):
     for batch in batches:
-        n, a, b = [], [], []
+        n, low, key = [], [], [np.zeros((0, 2), np.uint64)]
         for _, _, s in _sets([batch], k):
             n.append(len(s))
-            a.append(np.bitwise_xor.reduce(mix(s + U(1))) if len(s) else U(0))
-            b.append(s.sum(dtype=np.uint64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.array(a, np.uint64).view(np.int64)),
-                                          pa.array(np.array(b, np.uint64).view(np.int64))], names=["doc_id", "n_shingles", "sig_a", "sig_b"])
-
-
-def _cells(s: np.ndarray) -> np.ndarray:
-    return (s >> U(48)).astype(np.int64)
-
-
-def _counts(batches, k):
-    total = np.zeros(CELLS, np.int64)
-    for _, _, s in _sets(batches, k):
-        np.add.at(total, _cells(s), 1)
-    cell = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+            low.append(int(np.searchsorted(s, LOW)))
+            key.append(_key(s)[None])
+        a, b = np.concatenate(key).view(np.int64).T
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(a.copy()), pa.array(b.copy())],
+                                         names=["doc_id", "n_shingles", "n_low", "sig_a", "sig_b"])
 
 
-def _prefixes(batches, k, percent, counts):
+def _low_tokens(batches, k):
     for batch in batches:
-        ids, tokens = [], []
-        doc = np.asarray(batch.column("doc_id"))
-        for _, r, s in _sets([batch], k):
-            p = len(s) - (percent * len(s) + 99) // 100 + 1
-            if len(s):
-                order = np.argsort(counts[_cells(s)], kind="stable")[:p] if p < len(s) else np.arange(len(s))
-                tokens.append(s[order])
-                ids.append(np.full(len(order), doc[r]))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64))], names=["token", "doc_id"])
+        tokens, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for _, _, s in _sets([batch], k):
+            t = s[:np.searchsorted(s, LOW)]
+            a, b = _key(s)
+            tokens.append(t)
+            keys.append(np.full(len(t), a ^ b))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys).view(np.int64))], names=["token", "key"])
 
 
-def _members(batches, k):
+def _member_sets(batches, k):
     for batch in batches:
-        rows, sets = [], []
+        ids, rows, sets, size = np.asarray(batch.column("doc_id")), [], [], 0
         for _, r, s in _sets([batch], k):
             rows.append(r)
             sets.append(s.tobytes())
-            if sum(map(len, sets[-64:])) > 1 << 24:
-                yield _with_sets(batch, rows, sets)
-                rows, sets = [], []
+            size += s.nbytes
+            if size > 1 << 23:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets, pa.binary())], names=["doc_id", "tokens"])
+                rows, sets, size = [], [], 0
         if rows:
-            yield _with_sets(batch, rows, sets)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(sets, pa.binary())], names=["doc_id", "tokens"])
 
 
-def _with_sets(batch, rows, sets):
-    part = batch.slice(rows[0], len(rows))
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("units"), pa.array(sets, pa.binary())], names=["doc_id", "units", "tokens"])
+def _exploded(batches):
+    for batch in batches:
+        ids, sets = np.asarray(batch.column("doc_id")), [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("tokens")]
+        size = [len(x) for x in sets]
+        for i in range(0, len(sets), 500):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets[i:i + 500])), pa.array(np.repeat(ids[i:i + 500], size[i:i + 500]))], names=["token", "doc_id"])
 
 
 def _overlap_needed(n, m, percent):
@@ -205,25 +205,28 @@ def _block_pairs(blocks: DataFrame) -> DataFrame:
     return near.where("other_band > band or other_block >= block").drop("k", "other_k")
 
 
-def _solve(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links found in the units ``pairs``; every member's text is read once and its set goes to each of its units."""
+def _solve(sets: DataFrame, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links found in the units ``pairs``; every member's set goes to each of its units."""
     unit = F.xxhash64("cluster", "band", "block", "other_band", "other_block")
     one = pairs.select("cluster", "band", "block", unit.alias("unit"), F.lit(0).alias("side"))
     two = pairs.where("band != other_band or block != other_block").select("cluster", F.col("other_band").alias("band"), F.col("other_block").alias("block"), unit.alias("unit"), F.lit(1).alias("side"))
     units = members.join(one.union(two), ["cluster", "band", "block"]).groupBy("doc_id").agg(F.collect_list(F.struct("unit", "side")).alias("units"))
-    sets = docs.join(units, "doc_id").select("doc_id", "units", "text").mapInArrow(
-        lambda b: _members(b, k), "doc_id long, units array<struct<unit:long,side:int>>, tokens binary")
-    rows = sets.select("doc_id", "tokens", F.explode("units").alias("x")).select("x.unit", "x.side", "doc_id", "tokens")
+    rows = sets.join(units, "doc_id").select("doc_id", "tokens", F.explode("units").alias("x")).select("x.unit", "x.side", "doc_id", "tokens")
     return rows.groupBy("unit").applyInArrow(_unit_solver(percent), "u long, v long")
 
 
+def _needed(n, percent):
+    """Length of a prefix: so many tokens of a set that a similar one holds one of them."""
+    return n - F.ceil(n * percent / F.lit(100)) + 1
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, copy_of (smallest id with the same set), component_id, for every row of ``docs``.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets.
     component_id is the smallest id that links reach. Defined cases: a null or empty text has no
     shingles and no links; fewer than ``k`` words are one shingle; a null id gives a null component;
-    rows of one id count as one document that links with itself; an empty table gives an
+    rows of one id are one document (of different texts the set that is last in byte order counts); an empty table gives an
     empty result; other columns of ``docs`` are not read.
 
     Clusters of more than BLOCK_DOCS documents or BLOCK_TOKENS shingles are cut into blocks within bands
@@ -232,22 +235,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = d.where("doc_id is not null")
-    sig = held(d.mapInArrow(lambda b: _signatures(b, k), "doc_id long, n_shingles long, sig_a long, sig_b long"))
-    same = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "sig_a", "sig_b").agg(F.min("doc_id").alias("copy_of"))
-    copies = held(sig.join(same, ["n_shingles", "sig_a", "sig_b"], "left").select(
+    sig = held(d.mapInArrow(lambda b: _signatures(b, k), "doc_id long, n_shingles long, n_low long, sig_a long, sig_b long"))
+    same = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "n_low", "sig_a", "sig_b").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("times"))
+    same = held(same)
+    copies = held(sig.join(same, ["n_shingles", "n_low", "sig_a", "sig_b"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of")))
 
-    order = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(16)) == 0)  # one document in 16 tells which shingles are common; any order is right
-    rows = order.mapInArrow(lambda b: _counts(b, k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most CELLS rows
-    counts = np.zeros(CELLS, np.int64)
-    for r in rows:
-        counts[r["cell"]] = r["n"]
-    tokens = known.mapInArrow(lambda b: _prefixes(b, k, percent, counts), "token long, doc_id long")
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("token", "low")
-    clusters = components(tokens.join(shared, "token").where("doc_id > low").select(F.col("doc_id").alias("u"), F.col("low").alias("v")))
-
-    first = copies.where("doc_id = copy_of and n_shingles > 0").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    m = clusters.join(first, F.col("node") == F.col("doc_id")).select(
+    tokens = known.mapInArrow(lambda b: _low_tokens(b, k), "token long, key long")
+    shared = tokens.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token")
+    held_by = held(tokens.join(shared, "token").groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    state = same.withColumn("key", F.expr("sig_a ^ sig_b")).join(held_by, "key", "left")
+    own = F.col("n_low") - F.coalesce(F.col("n") / F.col("times"), F.lit(0))  # copies count their tokens once each
+    open_ = held(state.where(own < _needed(F.col("n_shingles"), percent)).select(F.col("copy_of").alias("doc_id")).distinct())
+    sets = known.join(open_, "doc_id").mapInArrow(lambda b: _member_sets(b, k), "doc_id long, tokens binary")
+    sets = held(sets.groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
+    sizes = sets.select("doc_id", (F.octet_length("tokens") / 8).cast("long").alias("n"))
+
+    every = sets.mapInArrow(_exploded, "token long, doc_id long")
+    often = every.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by_doc = W.partitionBy("doc_id")
+    ranked = every.join(often, "token").withColumn("c", F.count(F.lit(1)).over(by_doc)).withColumn("r", F.row_number().over(by_doc.orderBy("df", "token")))
+    ranked = ranked.join(sizes, "doc_id").where(F.col("r") <= _needed(F.col("n"), percent) - (F.col("n") - F.col("c")))
+    prefix = held(ranked.select("token", "doc_id"))
+    least = prefix.groupBy("token").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("token", "low")
+    clusters = components(prefix.join(least, "token").where("doc_id > low").select(F.col("doc_id").alias("u"), F.col("low").alias("v")))
+
+    m = clusters.join(sizes, F.col("node") == F.col("doc_id")).select(
         "doc_id", "n", F.col("component").alias("cluster"), F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 0.01)).cast("int").alias("band"))
     m = held(m)  # sizes of a link are less than one band apart
     load = m.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
@@ -260,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     keyed = held(keyed.join(blocks, ["cluster", "band"]).select("doc_id", "cluster", "band", F.pmod(F.xxhash64("doc_id"), F.col("k").cast("long")).cast("int").alias("block")))
     pairs = _block_pairs(blocks)
     near = "other_band = band and other_block = block or block = 0 and other_block = 0 or other_band = band and block = 0"
-    links = held(_solve(known, keyed, pairs.where(near), k, percent))
+    links = held(_solve(sets, keyed, pairs.where(near), percent))
     rest = pairs.where(f"not ({near})")
     if not rest.isEmpty():
         label = keyed.join(components(links), F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id"))
@@ -269,7 +282,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         rest = rest.join(state, ["cluster", "band", "block"]).join(other, ["cluster", "other_band", "other_block"])
         rest = held(rest.where("not (low = high and low2 = high2 and low = low2)").select("cluster", "band", "block", "other_band", "other_block"))
         if not rest.isEmpty():
-            links = held(links.union(_solve(known, keyed, rest, k, percent)))
+            links = held(links.union(_solve(sets, keyed, rest, percent)))
     found = components(links).select(F.col("node"), "component")
     return copies.join(found, F.col("copy_of") == F.col("node"), "left").select(
         "doc_id", "n_shingles", "copy_of", F.coalesce("component", "copy_of").alias("component_id"))
