@@ -43,3 +43,14 @@ def substring_dedup(rows, length=50):
         kept = b" ".join(x for x, g in zip(s, f, strict=True) if not g)
         out[d] = (len(s), sum(f), hashlib.sha256(kept).hexdigest())
     return out
+
+
+def add_one(rows, held_out):
+    """n_tokens, n_known, train_tokens and base score of every text."""
+    import math
+    from collections import Counter
+
+    toks = {d: [w.translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")) for w in WORD.findall((t or "").encode())] + [None] for d, t in rows}
+    c = Counter(w for d, ws in toks.items() if not held_out(d) for w in ws)
+    n, v = sum(c.values()), len(c)
+    return {d: (len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in toks.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, fm_index, jaccard, knn, langid, mixing, preference, suffix_array, toxicity
+from tickloom.llm import decontamination, fm_index, jaccard, knn, langid, mixing, pitman_yor, preference, suffix_array, toxicity
 from tickloom.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -157,3 +157,9 @@ SELECT doc_id, item_id, start, n_words, similarity FROM y QUALIFY row_number() O
 @query("op2_decontamination", DECONTAMINATION_SQL)
 def op2_decontamination(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_pitman_yor")
+def op6_pitman_yor(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor.score_texts(docs.select("doc_id", "text", (_fold(7) == 2).alias("held_out")))
