@@ -31,6 +31,6 @@ def held(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return durable(df)
+        return durable(df.select("*"))  # the setting counts when a DataFrame is made
     finally:
         spark.conf.set(CLEANUP, before)
