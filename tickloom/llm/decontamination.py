@@ -86,7 +86,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, k: int = 5, percent: int = 8
     lists = spots.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("spots"))
     wins = d.join(lists, "doc_id").select("doc_id", "w", F.explode("spots").alias("s")).select(
         "doc_id", F.col("s.start").alias("start"), F.col("s.size").alias("size"), F.slice("w", F.col("s.start") + 1, F.col("s.size")).alias("w"))
-    wins = held(wins)
+    wins = held(wins.distinct())
     at = ["doc_id", "start", "size"]
     marks = simhash(wins.select(*at, F.explode("w").alias("word")), at)
     own = simhash(items.select("item_id", F.size("w").alias("size"), F.explode("w").alias("word")), ["item_id", "size"])

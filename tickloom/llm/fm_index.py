@@ -156,8 +156,8 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 8, id_col: str = "doc_i
     """Texts as words without those that a repeated window of ``length`` words covers.
 
     A word goes if a window covering it also occurs in a document with a smaller id. Returns the id (and, on
-    demand, all other columns), n_units (words), n_removed, spans (maximal removed runs of words) and kept
-    (words joined by one space, as bytes). Defined cases: null has no words; fewer than ``length``
+    demand, all other columns but the text), n_units (words), n_removed, spans (maximal removed runs of words) and kept
+    (words joined by one space, as bytes). Defined cases: null has no words (kept is null); fewer than ``length``
     words are kept; of equal texts that with the smallest id stays; rows of one id and
     text fare alike; a null id neither loses nor causes anything; an empty table gives an empty result.
     """

@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     same = sig.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "n_low", "sig_a", "sig_b").agg(F.min("doc_id").alias("copy_of"), F.count(F.lit(1)).alias("times"))
     same = held(same)
     copies = held(sig.join(same, ["n_shingles", "n_low", "sig_a", "sig_b"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of")))
+        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of")))
 
     tokens = known.mapInArrow(lambda b: _low_tokens(b, k), "token long, key long")
     shared = tokens.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("token")

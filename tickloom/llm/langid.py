@@ -134,7 +134,7 @@ def fit(rows: list, idf: np.ndarray, languages: list[str], epochs: int = 3, alph
             ftrl.step(c, w, v[:, None] * p[None])
             bias -= 0.01 * p
     w = ftrl.weights()
-    scores = np.array([v @ w[c] + bias for _, c, v in held_back]).reshape(-1, k)
+    scores = np.array([v @ w[c] + bias for _, c, v in held_back]).reshape(len(held_back), k)
     y = np.array([d[0] for d in held_back], int)
     doubt = 1 / (len(y) + 2)  # a label counts as true to this extent less, or a model without errors would be cold
 

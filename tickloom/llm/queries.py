@@ -91,13 +91,13 @@ def op3_jaccard_join(spark, sf_dir):
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark, sf_dir):
     out = suffix_array.dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
 @query("op8_substring_dedup")
 def op8_substring_dedup(spark, sf_dir):
     out = fm_index.dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"))
 
 
 KNN_SQL = r"""

@@ -250,7 +250,16 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 CUT = "n_units long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
 
 
-def _cutter(unit: Unit, columns: list[str]):
+def _whole(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals of UTF-8 bytes without the characters that they hold a part of."""
+    inner = np.append((data & 0xC0) == 0x80, False)  # not the first byte of a character
+    for _ in range(3):
+        a = a + (inner[a] & (a < b))
+        b = b - (inner[b] & (a < b))
+    return a[a < b], b[a < b]
+
+
+def _cutter(unit: Unit, columns: list[str], whole_characters: bool):
     def run(batches):
         for batch in batches:
             marks, out = batch.column("marks"), []
@@ -262,6 +271,8 @@ def _cutter(unit: Unit, columns: list[str]):
                     a = b = np.zeros(0, np.int64)
                     if m is not None and n >= unit.length:
                         a, b = merged(np.asarray(m.field("start")).astype(np.int64), np.minimum(np.asarray(m.field("end")).astype(np.int64), n))
+                    if whole_characters and len(a):
+                        a, b = _whole(data[off[t]:off[t + 1]], a, b)
                     keep = np.ones(n, bool)
                     for p, q in zip(a.tolist(), b.tolist(), strict=True):
                         keep[p:q] = False
@@ -270,7 +281,7 @@ def _cutter(unit: Unit, columns: list[str]):
                         kept = b" ".join(data[p:q].tobytes() for p, q in zip(s[w].tolist(), e[w].tolist(), strict=True))
                     else:
                         kept = data[off[t]:off[t + 1]][keep].tobytes()
-                    out.append((n, int(n - keep.sum()), [{"start": p, "end": q} for p, q in zip(a.tolist(), b.tolist(), strict=True)], kept))
+                    out.append((n, int(n - keep.sum()), [{"start": p, "end": q} for p, q in zip(a.tolist(), b.tolist(), strict=True)], kept if batch.column("text")[i + t].is_valid else None))
             n, gone, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(n, pa.int64()), pa.array(gone, pa.int64()),
                                               pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())],
@@ -279,14 +290,15 @@ def _cutter(unit: Unit, columns: list[str]):
     return run
 
 
-def cut_repeats(docs: DataFrame, unit: Unit, solve, same_text: bool, id_col: str, text_col: str, keep_columns: bool) -> DataFrame:
-    """Rows of ``docs`` with n_units, n_removed, spans (maximal removed runs) and kept (bytes)."""
+def cut_repeats(docs: DataFrame, unit: Unit, solve, same_text: bool, id_col: str, text_col: str, keep_columns: bool,
+                whole_characters: bool = False) -> DataFrame:
+    """Rows of ``docs``, the text replaced by n_units, n_removed, spans (maximal removed runs) and kept (bytes, null for null)."""
     new = ("n_units", "n_removed", "spans", "kept")
-    extra = [c for c in docs.columns if keep_columns and c not in (id_col, *new)]
+    extra = [c for c in docs.columns if keep_columns and c not in (id_col, text_col, *new)]
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sig"),
                        *[F.col(c).alias(f"x_{c}") for c in extra])
     marks = find_repeats(base.select("doc_id", "text", "sig"), unit, solve, same_text)
     cols = ["doc_id", *[f"x_{c}" for c in extra]]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in cols)
-    out = base.join(marks, ["doc_id", "sig"], "left").select(*cols, "text", "marks").mapInArrow(_cutter(unit, cols), f"{kinds}, {CUT}")
+    out = base.join(marks, ["doc_id", "sig"], "left").select(*cols, "text", "marks").mapInArrow(_cutter(unit, cols, whole_characters), f"{kinds}, {CUT}")
     return out.withColumnsRenamed({f"x_{c}": c for c in extra}).withColumnRenamed("doc_id", id_col)

@@ -46,13 +46,14 @@ def radix_groups(x: Contexts, unit: Unit) -> np.ndarray:
     return removed
 
 
-def dedup(docs: DataFrame, length: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False,
+          whole_characters: bool = False) -> DataFrame:
     """Texts as UTF-8 bytes without the bytes that a repeated ``length``-byte string covers.
 
     A byte goes if a string covering it also starts earlier (smaller id, or same text and earlier start). Returns
-    the id (and, on demand, all other columns), n_units (bytes), n_removed, spans (maximal removed
-    runs) and kept. Defined cases: null is empty; a text shorter than ``length`` is kept whole; of equal
+    the id (and, on demand, all other columns but the text), n_units (bytes), n_removed, spans (maximal removed
+    runs) and kept. ``whole_characters`` spares characters of which only a part is repeated. Defined cases: null is empty (kept is null); a text shorter than ``length`` is kept whole; of equal
     texts that with the smallest id stays; rows of one id and text are one document and fare
     alike; a null id neither loses nor causes anything; an empty table gives an empty result.
     """
-    return cut_repeats(docs, Unit("byte", length, min(gram, length)), radix_groups, True, id_col, text_col, keep_columns)
+    return cut_repeats(docs, Unit("byte", length, min(gram, length)), radix_groups, True, id_col, text_col, keep_columns, whole_characters)
