@@ -76,6 +76,18 @@ def _frequent(batches):
                                       pa.array([False] * len(top) + [True])], names=["word", "n", "total"])
 
 
+def _runs(batch, least: int = 2_000_000):
+    """Tokens of some texts at a time, as (word before, word, row)."""
+    us, ws, ds, n = [], [], [], 0
+    for i, j, data, off in pieces(batch.column("text")):
+        u, w, d = _tokens(data, off)
+        us.append(u), ws.append(w), ds.append((i + d).astype(np.int32))
+        n += len(u)
+        if n >= least or j == batch.num_rows:
+            yield np.concatenate(us), np.concatenate(ws), np.concatenate(ds)
+            us, ws, ds, n = [], [], [], 0
+
+
 OCCURRENCES = "bucket int, docs binary, heldout binary, u binary, un binary, w binary, ow binary, od binary"
 
 
@@ -83,33 +95,26 @@ def _deal(batches, buckets: int, hot: np.ndarray, parts: np.ndarray):
     names = [x.split()[0] for x in OCCURRENCES.split(", ")]
     for batch in batches:
         ids, out = np.asarray(batch.column("doc_id")), np.asarray(batch.column("held_out").cast(pa.int8()))
-        us, ws, ds = [], [], []
-        for i, _, data, off in pieces(batch.column("text")):
-            u, w, d = _tokens(data, off)
-            us.append(u), ws.append(w), ds.append(i + d)
-        if not us:
-            continue
-        u, w, d = np.concatenate(us), np.concatenate(ws), np.concatenate(ds)
-        del us, ws, ds
-        key = u
-        if len(hot):
-            p = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
-            split = np.where(hot[p] == u, parts[p], 1).astype(np.uint64)
-            key = u ^ mix((w % split) * STEP)
-        bucket = (mix(key) % U(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            o = order[cut[b]:cut[b + 1]]
-            if not len(o):
-                continue
-            bu, bw, bd = u[o], w[o], d[o]
-            uu, un = np.unique(bu, return_inverse=True)
-            by = np.argsort(un, kind="stable")
-            wu, wi = np.unique(bw[by], return_inverse=True)
-            du, di = np.unique(bd[by], return_inverse=True)
-            row = [pack(ids[du]), pack(out[du]), uu.tobytes(), pack(np.bincount(un)), wu.tobytes(), pack(wi), pack(di)]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], names=names)
+        for u, w, d in _runs(batch):
+            key = u
+            if len(hot):
+                p = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
+                split = np.where(hot[p] == u, parts[p], 1).astype(np.uint64)
+                key = u ^ mix((w % split) * STEP)
+            bucket = (mix(key) % U(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
+                o = order[cut[b]:cut[b + 1]]
+                if not len(o):
+                    continue
+                bu, bw, bd = u[o], w[o], d[o]
+                uu, un = np.unique(bu, return_inverse=True)
+                by = np.argsort(un, kind="stable")
+                wu, wi = np.unique(bw[by], return_inverse=True)
+                du, di = np.unique(bd[by], return_inverse=True)
+                row = [pack(ids[du]), pack(out[du]), uu.tobytes(), pack(np.bincount(un)), wu.tobytes(), pack(wi), pack(di)]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], names=names)
 
 
 class Bucket:
@@ -129,8 +134,8 @@ class Bucket:
         self.docs, out, self.doc = np.concatenate(docs), np.concatenate(out).astype(bool), np.concatenate(du)
         self.contexts, u = np.unique(np.concatenate(u), return_inverse=True)
         self.words, w = np.unique(np.concatenate(w), return_inverse=True)
-        pair = u.astype(np.int64) * len(self.words) + w
-        del u, w
+        pair = u * np.int64(len(self.words)) + w
+        del u, w, du
         pairs, pair = np.unique(pair, return_inverse=True)
         self.pair = pair.astype(np.int32)
         self.u, self.w = (pairs // len(self.words)).astype(np.int32), (pairs % len(self.words)).astype(np.int32)
