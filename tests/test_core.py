@@ -13,6 +13,7 @@ from tickloom.core.pairs import pair_moments
 from tickloom.core.ranking import qcut, quantiles, rank_average
 from tickloom.core.regress import ols
 from tickloom.core.slices import affine_run, emas, ema_back, over_rows, span, spread
+from tickloom.core.states import state_run
 
 
 @pytest.fixture(scope="module")
@@ -76,7 +77,7 @@ def test_ema_matches_pandas(panel):
 def test_affine_run(panel):
     df, pdf = panel
     a, b = F.when(F.col("gap").isNull(), 0.0).otherwise(1.0), F.col("x")
-    got = _sorted(affine_run(df, a, b, "y", chunk=16, chunks=128))
+    got = _sorted(affine_run(df, a, b, "y", chunk=16))
     for sym, part in got.groupby("symbol"):
         y = 0.0
         for r in part.itertuples():
@@ -129,3 +130,26 @@ def test_pair_moments(panel):
     assert len(got) == 6 and got.loc[("b", "hot"), "n"] == len(both)
     np.testing.assert_allclose(got.loc[("b", "hot"), "sxy"], (both["b"] * both["hot"]).sum())
     np.testing.assert_allclose(got.loc[("b", "hot"), "sx"], both["b"].sum())
+
+
+def test_null_keys_and_orders_are_kept(spark):
+    rows = [("a", "2020-01-01", 1.0), (None, "2020-01-01", 2.0), (None, "2020-02-01", 3.0), ("a", None, 4.0)]
+    df = spark.createDataFrame(rows, "symbol string, ts string, x double").withColumn("ts", F.to_date("ts"))
+    got = over_rows(df, lambda d, w: d.withColumn("p", F.lag("x").over(w)), back=1).collect()
+    assert {(r.symbol, r.x, r.p) for r in got} == {("a", 4.0, None), ("a", 1.0, 4.0), (None, 2.0, None), (None, 3.0, 2.0)}
+    run = spread(df).run(t=("sum", F.col("x"))).done().collect()
+    assert {(r.symbol, r.x, r.t) for r in run} == {("a", 4.0, 4.0), ("a", 1.0, 5.0), (None, 2.0, 2.0), (None, 3.0, 5.0)}
+
+
+def test_groups_without_values_stay(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None), (None, 5.0)], "g string, v double")
+    assert qcut(df, ["g"], "v", 2, "bin").count() == 4
+    assert qcut(df.where("v is null"), [], "v", 2, "bin").count() == 1
+
+
+def test_state_and_affine_depth_follow_the_data(spark):
+    df = spark.range(40).select(F.lit("s").alias("symbol"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("ts"), "id")
+    step = F.when(F.col("id") == 0, F.array(F.lit(2), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))
+    assert {r.s for r in state_run(df, step, "s", chunk=1).collect()} == {2}
+    last = affine_run(df, F.lit(1.0), F.lit(1.0), "y", chunk=1).agg(F.max("y")).first()[0]
+    assert last == 40.0

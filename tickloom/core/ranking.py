@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import NULL_BIN, spread, value_bin
+from .slices import NULL_BIN, match, spread, value_bin
 
 
 def rank_average(df: DataFrame, by: Sequence[str], value: str, out: str, pct: bool = False) -> DataFrame:
@@ -41,8 +41,8 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     want = want.where((F.col("_k") >= F.col("_begin")) & (F.col("_k") < F.col("_begin") + F.col("_n")))
     hit = want.groupBy(*by, "_bin").agg(F.first("_begin").alias("_begin"), F.collect_set("_k").alias("_ks"))
     rn = F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_v")) - 1
-    rows = d.join(hit, by + ["_bin"]).withColumn("_k", F.col("_begin") + rn).where(F.array_contains("_ks", F.col("_k")))
-    got = want.select(*by, "_k", "_h", F.col("_q.i").alias("_i")).join(rows.select(*by, "_k", "_v"), by + ["_k"])
+    rows = match(d, hit, by + ["_bin"], "inner").withColumn("_k", F.col("_begin") + rn).where(F.array_contains("_ks", F.col("_k")))
+    got = match(want.select(*by, "_k", "_h", F.col("_q.i").alias("_i")), rows.select(*by, "_k", "_v"), by + ["_k"], "inner")
     lo, hi = F.min("_v"), F.max("_v")
     per = got.groupBy(*by, "_i").agg((lo + (hi - lo) * (F.first("_h") - F.floor(F.first("_h")))).alias("_x"))
     return per.groupBy(*by).agg(
@@ -54,7 +54,7 @@ def qcut(df: DataFrame, by: Sequence[str], value: str, q: int, out: str) -> Data
     by = list(by)
     edges = quantiles(df, by, value, [i / q for i in range(q + 1)], "_edges")
     edges = edges.withColumn("_edges", F.array_distinct("_edges"))
-    j = df.join(edges, by) if by else df.crossJoin(F.broadcast(edges))  # one row when there is no group
+    j = match(df, edges, by) if by else df.join(F.broadcast(edges), F.lit(True), "left")  # one row or none when there is no group
     inner = F.slice(F.col("_edges"), 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     code = F.size(F.filter(inner, lambda e: e < F.col(value))) + 1
-    return j.withColumn(out, F.when(F.col(value).isNotNull() & (F.size("_edges") > 1), code).cast("long")).drop("_edges")
+    return j.withColumn(out, F.when(F.col(value).isNotNull() & F.col("_edges").isNotNull() & (F.size("_edges") > 1), code).cast("long")).drop("_edges")

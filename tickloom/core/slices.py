@@ -38,6 +38,13 @@ def value_bin(column: str | Column) -> Column:
     return F.floor(F.signum(c) * F.asinh(F.abs(c) * F.lit(1e6)) * F.lit(50.0))
 
 
+def match(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``df`` joined with ``side`` on ``keys``, where null equals null; the keys come from ``df``."""
+    other = side.withColumnsRenamed({k: f"_m_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]
+    return df.join(other, same, how).drop(*[f"_m_{k}" for k in keys])
+
+
 class Series:
     """A keyed, ordered frame spread over slices. Built by :func:`spread`."""
 
@@ -109,7 +116,7 @@ class Series:
             "_bin",
             *[running(carry_kind.get(k, k), F.col(f"_t_{n}"), before).alias(f"_c_{n}") for n, (k, c) in specs.items()],
         )
-        df = self.df.join(carry, self.keys + ["_bin"], "left")
+        df = match(self.df, carry, self.keys + ["_bin"])
         frame = self.rows(Window.unboundedPreceding, 0)
         for n, (k, c) in specs.items():
             local = running(k, c, frame)
@@ -191,7 +198,7 @@ def spread(
 
 
 def _place(df: DataFrame, bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    j = df.join(bins, list(keys) + ["_bin"]).withColumn("_to", F.explode("_to"))
+    j = match(df, bins, list(keys) + ["_bin"], "inner").withColumn("_to", F.explode("_to"))
     return j.withColumns({"_slice": F.col("_to._slice"), "_own": F.col("_to._own")}).drop("_to")
 
 
@@ -260,15 +267,22 @@ def ema_back(*spans: float) -> int:
     return sum(decay_rows(span(n)) + 1 for n in spans)
 
 
+def chunks_of(df: DataFrame, keys: Sequence[str], chunk: int) -> int:
+    """Chunks of ``chunk`` rows in the longest series: one count a key, one number to the driver."""
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return max(1, -(-longest // chunk))
+
+
 def affine_run(df: DataFrame, a: Column, b: Column, out: str, keys=("symbol",), order=("ts",),
-               bin: str | Column = "month", chunk: int = 4096, chunks: int = 2 ** 20) -> DataFrame:
+               bin: str | Column = "month", chunk: int = 4096) -> DataFrame:
     """Exact affine recursion over whole series, for coefficients that need not decay.
 
     Rows are numbered, cut into chunks of exactly ``chunk`` rows and scanned in parallel; the
-    composed maps of the chunks (one row each) are scanned next; the carry is applied last.
-    Series may hold up to ``chunk * chunks`` rows, over four thousand million by default.
+    composed maps of the chunks (one row each) are scanned next; the carry is applied last. The
+    depth of that second scan comes from the longest series.
     """
     keys = list(keys)
+    chunks = chunks_of(df, keys, chunk)
     s = spread(df.withColumn("_a", a).withColumn("_b", b), keys=keys, order=order, bin=bin).position("_pos")
     d = s.done().withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)).cast("long"))
     d = _double(d, "_a", "_b", Window.partitionBy(*keys, "_chunk").orderBy("_pos"), chunk)
@@ -276,7 +290,7 @@ def affine_run(df: DataFrame, a: Column, b: Column, out: str, keys=("symbol",),
     ws = Window.partitionBy(*keys).orderBy("_chunk")
     tail = _double(tail, "_ta", "_tb", ws, chunks)
     carry = tail.select(*keys, "_chunk", F.lag("_tb", 1).over(ws).alias("_in"))
-    d = d.join(carry, keys + ["_chunk"])
+    d = match(d, carry, keys + ["_chunk"])
     return d.withColumn(out, F.col("_a") * F.coalesce("_in", F.lit(0.0)) + F.col("_b")).drop("_a", "_b", "_in", "_pos", "_chunk")
 
 

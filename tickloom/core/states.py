@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slices import spread
+from .slices import chunks_of, match, spread
 
 
 def _compose(df: DataFrame, m: str, w, reach: int) -> DataFrame:
@@ -26,9 +26,10 @@ def _compose(df: DataFrame, m: str, w, reach: int) -> DataFrame:
 
 
 def state_run(df: DataFrame, step: Column, out: str, start: int = 1, keys: Sequence[str] = ("symbol",), order=("ts",),
-              bin="month", chunk: int = 1024, chunks: int = 2 ** 16) -> DataFrame:
+              bin="month", chunk: int = 1024) -> DataFrame:
     """``step`` is an array<int>: the state after the row for each state (1-based) before it."""
     keys = list(keys)
+    chunks = chunks_of(df, keys, chunk)
     d = spread(df.withColumn("_m", step), keys=keys, order=order, bin=bin).position("_pos").done()
     d = d.withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk)).cast("long"))
     d = _compose(d, "_m", Window.partitionBy(*keys, "_chunk").orderBy("_pos"), chunk)
@@ -36,5 +37,5 @@ def state_run(df: DataFrame, step: Column, out: str, start: int = 1, keys: Seque
     ws = Window.partitionBy(*keys).orderBy("_chunk")
     tail = _compose(tail, "_t", ws, chunks)
     carry = tail.select(*keys, "_chunk", F.coalesce(F.element_at(F.lag("_t").over(ws), start), F.lit(start)).alias("_s0"))
-    d = d.join(carry, keys + ["_chunk"])
+    d = match(d, carry, keys + ["_chunk"])
     return d.withColumn(out, F.element_at("_m", F.col("_s0"))).drop("_m", "_s0", "_chunk", "_pos")

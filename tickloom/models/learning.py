@@ -199,8 +199,18 @@ def rolling_exposure(returns: DataFrame, window: int = 252, value: str = "ret")
     return j.groupBy("window_end").applyInPandas(pca, f"window_end {kind}, symbol string, loading double, ratio double")
 
 
-def asset_vectors(returns: DataFrame, value: str = "ret", dims: int = 64) -> DataFrame:
-    """One vector per asset: mean return in each of ``dims`` hashed date groups (dates an asset lacks add nothing)."""
+def asset_vectors(returns: DataFrame, value: str = "ret", dims: int | None = None) -> DataFrame:
+    """One vector per asset: its return on every date of the panel, 0 where it has none.
+
+    With ``dims`` the mean return in each of so many hashed date groups instead, for models that need far
+    fewer dimensions than assets.
+    """
+    if dims is None:
+        day = returns.where(C("ts").isNotNull()).groupBy("symbol", "ts").agg(F.avg(value).alias("_v")).where("_v is not null")
+        own = day.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("ts", "_v"))).alias("_m"))
+        dates = day.agg(F.array_sort(F.collect_set("ts")).alias("_d"))  # one row, as long as a vector
+        x = F.transform("_d", lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0.0)))
+        return own.join(F.broadcast(dates)).select("symbol", array_to_vector(x).alias("features"))
     slot = F.pmod(F.xxhash64("ts"), F.lit(dims)).cast("int")
     g = returns.groupBy("symbol").agg(*[F.coalesce(F.avg(F.when(slot == i, C(value))), F.lit(0.0)).alias(f"v{i}") for i in range(dims)])
     return g.select("symbol", array_to_vector(F.array(*[C(f"v{i}") for i in range(dims)])).alias("features"))
@@ -222,7 +232,7 @@ def choose_k(vectors: DataFrame, ks: Sequence[int]) -> DataFrame:
     return vectors.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
 
 
-def dbscan(points: DataFrame, eps: float, least: int, key: str = "vec_id", vector: str = "x", cells: int = 1, rounds: int = 50) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, least: int, key: str = "vec_id", vector: str = "x", cells: int = 1) -> DataFrame:
     """Density clusters of array points; noise is -1.
 
     Points are put in grid cells of width eps on their first ``cells`` coordinates; only neighbouring
@@ -241,7 +251,7 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "vec_id", vecto
     core = durable(near.groupBy(key).agg(F.count("*").alias("_n")).where(C("_n") >= least).select(key))
     edges = durable(near.join(core, key).join(core.select(C(key).alias("_o")), "_o").select(key, "_o"))
     label = durable(core.withColumn("label", C(key)))
-    for _ in range(rounds):
+    while True:
         nxt = edges.join(label.select(C(key).alias("_o"), "label"), "_o").groupBy(key).agg(F.min("label").alias("label"))
         # pointer jump: take the label of the label as well
         jump = nxt.join(label.select(C(key).alias("label"), C("label").alias("_l2")), "label", "left").select(key, F.least("label", F.coalesce("_l2", "label")).alias("label"))
@@ -250,8 +260,6 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "vec_id", vecto
         label = jump
         if not moved:
             break
-    else:
-        raise RuntimeError("labels still change; raise rounds")
     border = near.join(label.select(C(key).alias("_o"), "label"), "_o").groupBy(key).agg(F.min_by("label", F.struct("_dist", "_o")).alias("_b"))
     out = points.select(key).join(label, key, "left").join(border, key, "left")
     return out.select(key, F.coalesce("label", "_b", F.lit(-1)).cast("long").alias("cluster"))

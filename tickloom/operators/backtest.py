@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..core.folds import fold_sorted
 from ..core.ranking import quantiles
-from ..core.slices import over_rows, spread
+from ..core.slices import match, over_rows, spread
 from ..session import durable
 from . import strategies as S
 
@@ -175,7 +175,7 @@ def long_short(pred: DataFrame, value: str = "prediction", top: float = 0.2, bot
     """+1 / -1 / 0 by quantile thresholds, over the whole sample or per group."""
     by = list(by)
     q = quantiles(pred, by, value, [1 - top, bottom], "_q").select(*by, C("_q")[0].alias("_hi"), C("_q")[1].alias("_lo"))
-    d = pred.join(q, by) if by else pred.crossJoin(F.broadcast(q))  # one row without groups
+    d = match(pred, q, by) if by else pred.join(F.broadcast(q), F.lit(True), "left")  # one row or none without groups
     sig = F.when(C(value) >= C("_hi"), 1).otherwise(0) - F.when(C(value) <= C("_lo"), 1).otherwise(0)
     return d.withColumn("signal", F.when(C(value).isNotNull(), sig).otherwise(0)).drop("_hi", "_lo")
 

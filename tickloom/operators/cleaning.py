@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.ranking import quantiles
-from ..core.slices import over_rows, spread
+from ..core.slices import match, over_rows, spread
 from ..session import durable
 from .indicators import change, mean, std
 
@@ -19,7 +19,7 @@ PRICES = ("open", "high", "low", "close")
 def _bfill(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """After a forward fill only leading nulls are left: the first value of the series fills them."""
     first = df.groupBy(*keys).agg(*[F.min_by(c, F.when(C(c).isNotNull(), C("ts"))).alias(f"_f_{c}") for c in columns])
-    return df.join(first, list(keys)).withColumns({c: F.coalesce(c, f"_f_{c}") for c in columns}).drop(*[f"_f_{c}" for c in columns])
+    return match(df, first, list(keys)).withColumns({c: F.coalesce(c, f"_f_{c}") for c in columns}).drop(*[f"_f_{c}" for c in columns])
 
 
 def fill_forward(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -51,7 +51,7 @@ def clip_outliers(df: DataFrame, k: float = 5.0) -> DataFrame:
                                     F.min("_r").alias("_lo"), F.min_by("close", "ts").alias("_c0"))
     stats = stats.withColumns({"_a": C("_m") - k * C("_s"), "_b": C("_m") + k * C("_s")})
     stats = stats.withColumn("_any", F.coalesce((C("_s") > 0) & ((C("_hi") > C("_b")) | (C("_lo") < C("_a"))), F.lit(False)))
-    d = r.join(stats.drop("_m", "_s", "_hi", "_lo"), "symbol")
+    d = match(r, stats.drop("_m", "_s", "_hi", "_lo"), ["symbol"])
     factor = 1 + F.least(F.greatest("_r", "_a"), C("_b"))
     d = spread(d).run(_g=("product", F.when(C("_r").isNotNull(), factor))).done()
     rebuilt = F.when(C("_any") & C("_r").isNotNull(), C("_c0") * C("_g")).otherwise(C("close"))

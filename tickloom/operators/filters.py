@@ -20,14 +20,14 @@ C = F.col
 def kalman_gains(q: float, r: float, p0: float = 1.0) -> list[tuple[int, float, float]]:
     """(row, gain, smoothing factor) until both are constant; they depend on the row number only."""
     out, p = [], p0
-    for t in range(1 << 16):
+    for t in range(1 << 20):
         pred = p + q
         k = pred / (pred + r)
         p = (1 - k) * pred
         out.append((t, k, p / (p + q)))
-        if t and abs(out[-1][1] - out[-2][1]) < 1e-17:
-            break
-    return out
+        if t and abs(out[-1][1] - out[-2][1]) <= 1e-15 * out[-1][1]:
+            return out
+    raise ValueError("the gain is not constant after a million rows; q is too small beside r")
 
 
 def kalman_level(df: DataFrame, value: str, q: float = 1e-5, r: float = 1e-2, out: str = "level", keys: Sequence[str] = ("symbol",)) -> DataFrame:

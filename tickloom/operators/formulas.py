@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.ranking import rank_average
-from ..core.slices import over_rows
+from ..core.slices import match, over_rows
 from ..functions import formulaic as fx
 
 C = F.col
@@ -21,7 +21,7 @@ def rank(df: DataFrame, value: str, out: str, by: str = "ts") -> DataFrame:
 
 def scale(df: DataFrame, value: str, out: str, by: str = "ts") -> DataFrame:
     t = df.groupBy(by).agg(F.sum(F.abs(value)).alias("_t"))
-    return df.join(t, by).withColumn(out, F.when(C("_t") != 0, C(value) / C("_t"))).drop("_t")
+    return match(df, t, [by]).withColumn(out, F.when(C("_t") != 0, C(value) / C("_t"))).drop("_t")
 
 
 def _ts(df: DataFrame, back: int, fn: Callable) -> DataFrame:
@@ -116,5 +116,5 @@ def neutralize(df: DataFrame, factor: str, on: str, out: str, by: str = "ts") ->
                            F.covar_pop(x, y).alias("_c"), F.var_pop(x).alias("_v"))
     # a cross-section without spread in the regressor leaves only its mean to remove
     beta = F.when(C("_v") > 0, C("_c") / C("_v")).otherwise(0.0)
-    d = df.join(g, by).withColumn(out, F.when(ok & (C("_n") > 1), C(factor) - C("_my") - beta * (C(on) - C("_mx"))))
+    d = match(df, g, [by]).withColumn(out, F.when(ok & (C("_n") > 1), C(factor) - C("_my") - beta * (C(on) - C("_mx"))))
     return d.drop("_n", "_mx", "_my", "_c", "_v")

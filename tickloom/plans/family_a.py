@@ -87,7 +87,7 @@ def a12(spark, d):
 o AS (SELECT o_custkey AS cik, CASE WHEN o_orderpriority = '1-URGENT' THEN '10-K' WHEN o_orderpriority = '2-HIGH' THEN '10-Q' ELSE '8-K' END AS form, strftime(o_orderdate, '%Y-%m-%d') AS date,
   CAST(o_orderkey AS VARCHAR) || '-' || strftime(o_orderdate, '%y') || '-1' AS accession, o_orderkey FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY o_orderkey) AS rn FROM o WHERE form = '10-K'),
-result AS (SELECT cik, form, date, accession, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accession, '-', '') AS url FROM r WHERE rn <= 2)""")
+result AS (SELECT cik, form, date, accession, 'https://www.sec.gov/Archives/edgar/data/' || cik || '/' || replace(accession, '-', '') || '/' || accession || '-index.htm' AS url FROM r WHERE rn <= 2)""")
 def a13(spark, d):
     o = table(spark, d, "orders")
     form = F.when(F.col("o_orderpriority") == "1-URGENT", "10-K").when(F.col("o_orderpriority") == "2-HIGH", "10-Q").otherwise("8-K")

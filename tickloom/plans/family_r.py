@@ -141,7 +141,7 @@ def r16(spark, d):
 
 
 for _m in ("kmeans", "gmm", "hierarchical"):
-    query(f"r17_cluster_{_m}", "symbol cluster#")(lambda spark, d, m=_m: M.cluster(durable(M.asset_vectors(log_returns(spark, d), dims=8)), 4, m))
+    query(f"r17_cluster_{_m}", "symbol cluster#")(lambda spark, d, m=_m: M.cluster(durable(M.asset_vectors(log_returns(spark, d), dims=8 if m == "gmm" else None)), 4, m))
 
 
 @query("r18_dbscan", "vec_id# cluster#")
@@ -152,7 +152,7 @@ def r18(spark, d):
 
 @query("r19_choose_k", "k# silhouette:4 cost:4")
 def r19(spark, d):
-    return M.choose_k(M.asset_vectors(log_returns(spark, d), dims=8), [2, 3, 4])
+    return M.choose_k(M.asset_vectors(log_returns(spark, d)), [2, 3, 4])
 
 
 LAB = LR + ", lb AS (SELECT DISTINCT symbol, CAST(substr(symbol, 7) AS INT) % 4 AS cluster FROM lr)"
@@ -194,4 +194,4 @@ def r07(spark, d):
     for n in (3, 5):
         M.save_model(M.fit(f, "up", XS, "forest", numTrees=n, maxDepth=3), f"{root}/forest{n}", {"model": f"forest{n}", "score": str(n)})
     c = M.model_catalog(spark, root)
-    return c.select(F.lit(2).alias("models"), c.metadata["model"].alias("model"), c.metadata["score"].alias("score"))
+    return c.join(c.agg(F.count("*").alias("models"))).select("models", c.metadata["model"].alias("model"), c.metadata["score"].alias("score"))

@@ -29,14 +29,15 @@ def filings(df: DataFrame, json: str = "json", key: str = "cik", form: str = "10
     d = d.select(key, "_pos", C("_z.form").alias("form"), C("_z.date").alias("date"), C("_z.accession").alias("accession")).where(C("form") == form)
     rn = F.row_number().over(Window.partitionBy(key).orderBy("_pos"))
     d = d.withColumn("_rn", rn).where(C("_rn") <= limit).drop("_rn", "_pos")
-    return d.withColumn("url", F.concat_ws("/", F.lit(base), C(key).cast("string"), F.regexp_replace("accession", "-", "")))
+    flat = F.regexp_replace("accession", "-", "")
+    return d.withColumn("url", F.concat(F.concat_ws("/", F.lit(base), C(key).cast("string"), flat, C("accession")), F.lit("-index.htm")))
 
 
 def statements(df: DataFrame, json: str = "json", key: str = "cik", statement: str = "income", period: str = "annual") -> DataFrame:
     """Company facts to one row per (company, date) with a column per concept; USD if reported, else shares."""
     concepts = CONCEPTS[statement]
     d = df.select(key, F.explode(F.from_json(C(json), FACTS)["facts"]).alias("_tax", "_facts"))
-    d = d.select(key, F.explode("_facts").alias("concept", "_f")).where(C("concept").isin(concepts))
+    d = d.where(C("_tax") == "us-gaap").select(key, F.explode("_facts").alias("concept", "_f")).where(C("concept").isin(concepts))
     rows = F.coalesce(F.try_element_at("_f.units", F.lit("USD")), F.try_element_at("_f.units", F.lit("shares")))
     d = d.select(key, "concept", F.posexplode(rows).alias("_p", "_r")).select(key, "concept", "_p", C("_r.end").alias("date"), C("_r.val").alias("val"), C("_r.form").alias("form"))
     d = d.where(C("form") == FORMS[period])

@@ -16,58 +16,40 @@ C = F.col
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
-def grams(df: DataFrame, key: str, text: str = "text", ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, _g): the n-grams of the words of two or more characters.
+def terms(df: DataFrame, key: str, text: str = "text", ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(key, term, n): counts per document of the n-grams of words of two or more characters.
 
-    A longer gram zips the shorter one with the words behind it; nothing inside the element function
-    refers to the whole array, so it is built once per document.
+    A row holds a word and the words behind it, its grams are made from the row's own columns, and all
+    rows of a document meet in one task, so the counts are final before they are shuffled.
     """
+    low, high = ngrams
     t = df.select(key, F.regexp_extract_all(F.lower(C(text)), F.lit(TERM), F.lit(0)).alias("_t"))
-    parts, cur = [], C("_t")
-    for n in range(1, ngrams[1] + 1):
-        if n > 1:
-            m = F.greatest(F.size("_t") - (n - 1), F.lit(0))
-            cur = F.zip_with(F.slice(cur, F.lit(1), m), F.slice(C("_t"), F.lit(n), m), lambda a, b: F.concat_ws(" ", a, b))
-        if n >= ngrams[0]:
-            parts.append(cur)
-    return t.select(key, (F.concat(*parts) if len(parts) > 1 else parts[0]).alias("_g"))
-
-
-def terms(df: DataFrame, key: str, text: str = "text", ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, term, n): counts per document."""
-    return grams(df, key, text, ngrams).select(key, F.explode("_g").alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    shifted = [C("_t").alias("w0"), *[F.slice("_t", i + 1, F.greatest(F.size("_t") - i, F.lit(0))).alias(f"w{i}") for i in range(1, high)]]
+    w = t.select(key, F.explode(F.arrays_zip(*shifted)).alias("_z")).select(key, *[C(f"_z.w{i}").alias(f"w{i}") for i in range(high)])
+    gram = lambda n: C("w0") if n == 1 else F.concat(C("w0"), *[x for i in range(1, n) for x in (F.lit(" "), C(f"w{i}"))])  # null where words are missing
+    g = w.select(key, F.explode(F.array(*[gram(n) for n in range(low, high + 1)])).alias("term")).where("term is not null")
+    return g.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def vocabulary(g: DataFrame, documents: int, max_features: int = 5000, min_df: int = 1, max_df: float = 0.95) -> DataFrame:
-    """The ``max_features`` most frequent terms within the document-frequency limits.
-
-    Total and document counts come from one explode and one map-side combined sum per term, so a
-    term found everywhere costs one row per task.
-    """
-    mark = lambda first, total, df: F.struct(first.alias("term"), F.lit(total).alias("t"), F.lit(df).alias("d"))
-    both = F.concat(F.transform("_g", lambda t: mark(t, 1, 0)), F.transform(F.array_distinct("_g"), lambda t: mark(t, 0, 1)))
-    v = g.select(F.inline(both)).groupBy("term").agg(F.sum("t").alias("total"), F.sum("d").alias("df"))
+def vocabulary(counts: DataFrame, documents: int, max_features: int = 5000, min_df: int = 1, max_df: float = 0.95) -> DataFrame:
+    """The ``max_features`` most frequent terms within the document-frequency limits, from (key, term, n)."""
+    v = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
     v = v.where((C("df") >= min_df) & (C("df") <= max_df * F.lit(documents)))
     return v.orderBy(F.desc("total"), "term").limit(max_features)
 
 
-def _counts_in(g: DataFrame, v: DataFrame, key: str) -> DataFrame:
-    """Counts of vocabulary terms only: the rest is dropped before the shuffle. The vocabulary is at
-    most ``max_features`` short rows."""
-    return g.select(key, F.explode("_g").alias("term")).join(F.broadcast(v), "term").groupBy(key, *v.columns).agg(F.count("*").alias("n"))
-
-
 def bag_of_words(df: DataFrame, key: str, text: str = "text", max_features: int = 5000, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
-    g = grams(df, key, text)
-    return _counts_in(g, vocabulary(g, df.count(), max_features, min_df, max_df).select("term"), key)
+    c = terms(df, key, text)
+    v = vocabulary(c, df.count(), max_features, min_df, max_df).select("term")
+    return c.join(F.broadcast(v), "term").select(key, "term", "n")  # at most max_features rows
 
 
 def tfidf(df: DataFrame, key: str, text: str = "text", max_features: int = 5000, ngrams: tuple[int, int] = (1, 2), min_df: int = 1, max_df: float = 0.95) -> DataFrame:
     """(key, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length per document."""
     n = df.count()
-    g = grams(df, key, text, ngrams)
-    v = vocabulary(g, n, max_features, min_df, max_df).select("term", (F.log((1 + n) / (1 + C("df"))) + 1).alias("_idf"))
-    d = _counts_in(g, v, key).withColumn("_w", C("n") * C("_idf"))
+    c = terms(df, key, text, ngrams)
+    v = vocabulary(c, n, max_features, min_df, max_df).select("term", (F.log((1 + n) / (1 + C("df"))) + 1).alias("_idf"))
+    d = c.join(F.broadcast(v), "term").withColumn("_w", C("n") * C("_idf"))  # at most max_features rows
     # a document holds at most max_features terms
     length = F.sqrt(F.sum(C("_w") * C("_w")).over(Window.partitionBy(key)))
     return d.select(key, "term", (C("_w") / length).alias("weight"))
@@ -161,9 +143,7 @@ def risk_sentiment(df: DataFrame, vectors: DataFrame, keywords: DataFrame, key:
 
 
 def nearest_words(vectors: DataFrame, keywords: DataFrame, at: float) -> DataFrame:
-    """(word, keyword, similarity) above the limit; the keyword list must stay short (checked)."""
-    if keywords.count() > 1000:
-        raise ValueError("more than a thousand keywords")
+    """(word, keyword, similarity) above the limit. A list of up to a thousand keywords is broadcast."""
     k = keywords.select(C("word").alias("keyword"), C("vector").alias("_kv"))
-    d = vectors.join(F.broadcast(k)).withColumn("similarity", cosine(C("vector"), C("_kv")))
+    d = vectors.join(F.broadcast(k) if keywords.count() <= 1000 else k).withColumn("similarity", cosine(C("vector"), C("_kv")))
     return d.where(C("similarity") > at).select("word", "keyword", "similarity")
