@@ -39,12 +39,28 @@ def d01b(spark, d):
     return bars(spark, d)
 
 
-@query("d02_volume_bars", "symbol bar# ts@ open:4 high:4 low:4 close:4 volume:2")
+@query("d02_volume_bars", "symbol bar# ts@ open:4 high:4 low:4 close:4 volume:2", "RECURSIVE " + EVENTS + """,
+n AS MATERIALIZED (SELECT symbol, ts, price::DOUBLE AS price, volume::DOUBLE AS volume, volume::DOUBLE AS m, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS i FROM ev),
+f AS (SELECT symbol, 0::BIGINT AS i, 0::BIGINT AS bar, NULL::TIMESTAMP AS ts, 0.0::DOUBLE AS open, 0.0::DOUBLE AS high, 0.0::DOUBLE AS low, 0.0::DOUBLE AS close, 0.0::DOUBLE AS volume, 0.0::DOUBLE AS m, true AS fresh FROM (SELECT DISTINCT symbol FROM n)
+  UNION ALL
+  SELECT n.symbol, n.i, f.bar + CASE WHEN fresh AND f.i > 0 THEN 1 ELSE 0 END, CASE WHEN fresh THEN n.ts ELSE f.ts END, CASE WHEN fresh THEN n.price ELSE f.open END,
+    CASE WHEN fresh THEN n.price ELSE greatest(f.high, n.price) END, CASE WHEN fresh THEN n.price ELSE least(f.low, n.price) END, n.price,
+    CASE WHEN fresh THEN 0.0 ELSE f.volume END + n.volume, CASE WHEN fresh THEN 0.0 ELSE f.m END + n.m, CASE WHEN fresh THEN 0.0 ELSE f.m END + n.m >= 2000
+  FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.i + 1),
+result AS (SELECT symbol, bar, ts, open, high, low, close, volume FROM f WHERE i > 0 AND fresh)""")
 def d02(spark, d):
     return T.threshold_bars(events(spark, d), 2000.0)
 
 
-@query("d03_dollar_bars", "symbol bar# ts@ open:4 high:4 low:4 close:4 volume:2")
+@query("d03_dollar_bars", "symbol bar# ts@ open:4 high:4 low:4 close:4 volume:2", "RECURSIVE " + EVENTS + """,
+n AS MATERIALIZED (SELECT symbol, ts, price::DOUBLE AS price, volume::DOUBLE AS volume, (price * volume)::DOUBLE AS m, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS i FROM ev),
+f AS (SELECT symbol, 0::BIGINT AS i, 0::BIGINT AS bar, NULL::TIMESTAMP AS ts, 0.0::DOUBLE AS open, 0.0::DOUBLE AS high, 0.0::DOUBLE AS low, 0.0::DOUBLE AS close, 0.0::DOUBLE AS volume, 0.0::DOUBLE AS m, true AS fresh FROM (SELECT DISTINCT symbol FROM n)
+  UNION ALL
+  SELECT n.symbol, n.i, f.bar + CASE WHEN fresh AND f.i > 0 THEN 1 ELSE 0 END, CASE WHEN fresh THEN n.ts ELSE f.ts END, CASE WHEN fresh THEN n.price ELSE f.open END,
+    CASE WHEN fresh THEN n.price ELSE greatest(f.high, n.price) END, CASE WHEN fresh THEN n.price ELSE least(f.low, n.price) END, n.price,
+    CASE WHEN fresh THEN 0.0 ELSE f.volume END + n.volume, CASE WHEN fresh THEN 0.0 ELSE f.m END + n.m, CASE WHEN fresh THEN 0.0 ELSE f.m END + n.m >= 100000
+  FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.i + 1),
+result AS (SELECT symbol, bar, ts, open, high, low, close, volume FROM f WHERE i > 0 AND fresh)""")
 def d03(spark, d):
     return T.threshold_bars(events(spark, d), 100000.0, "dollar")
 

@@ -79,7 +79,15 @@ def j05(spark, d):
     return S.quote_prices(b)
 
 
-@query("j06_pair_signal", "pair ts! z:6 signal:1")
+@query("j06_pair_signal", "pair ts! z:6 signal:1", "RECURSIVE " + PAIR + f""",
+zs AS (SELECT pair, ts, (spread - {rollp('avg(spread)', 20)}) / nullif({rollp('stddev_samp(spread)', 20)}, 0) AS z FROM pairs),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY ts) AS i FROM zs),
+f AS (SELECT pair, 0::BIGINT AS i, 0.0::DOUBLE AS signal FROM (SELECT DISTINCT pair FROM n)
+  UNION ALL
+  SELECT n.pair, n.i, CASE WHEN z IS NULL THEN f.signal WHEN f.signal = 0 THEN CASE WHEN z > 2 THEN -1.0 WHEN z < -2 THEN 1.0 ELSE 0.0 END
+    WHEN f.signal > 0 THEN CASE WHEN z > -0.5 THEN 0.0 ELSE 1.0 END ELSE CASE WHEN z < 0.5 THEN 0.0 ELSE -1.0 END END
+  FROM f JOIN n ON n.pair = f.pair AND n.i = f.i + 1),
+result AS (SELECT pair, ts, z, signal FROM f JOIN n USING (pair, i))""")
 def j06(spark, d):
     return S.pair_signal(pairs(spark, d))
 

@@ -15,7 +15,15 @@ def trades(spark, d):
                                    (F.col("price") * 0.001).alias("commission"), F.concat(F.lit("st"), (F.col("user_id") % 4).cast("string")).alias("strategy"), "user_id")
 
 
-@query("o01_average_cost", "symbol seq# position:2 avg_cost:6 realised:5 oversold")
+@query("o01_average_cost", "symbol seq# position:2 avg_cost:6 realised:5 oversold", "RECURSIVE " + TRADES + """,
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS i FROM tr),
+f AS (SELECT symbol, 0::BIGINT AS i, NULL::BIGINT AS seq, 0.0::DOUBLE AS position, 0.0::DOUBLE AS avg_cost, 0.0::DOUBLE AS realised FROM (SELECT DISTINCT symbol FROM n)
+  UNION ALL
+  SELECT n.symbol, n.i, n.seq, f.position + CASE WHEN side = 'buy' THEN qty ELSE -qty END,
+    CASE WHEN side = 'buy' AND f.position + qty <> 0 THEN f.position / (f.position + qty) * avg_cost + price * qty / (f.position + qty) ELSE avg_cost END,
+    CASE WHEN side = 'buy' THEN 0.0 ELSE (price - avg_cost) * qty - commission END
+  FROM f JOIN n ON n.symbol = f.symbol AND n.i = f.i + 1),
+result AS (SELECT symbol, seq, position, avg_cost, realised, position < 0 AS oversold FROM f WHERE i > 0)""")
 def o01(spark, d):
     return L.average_cost(trades(spark, d), bin="day")
 
