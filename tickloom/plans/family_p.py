@@ -11,9 +11,18 @@ from .registry import query
 C = F.col
 
 
-def stream(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema.simpleString()[7:-1].replace(":", " ")
-    e = S.tick_stream(spark, d, schema, glob="events.parquet").withColumn("ts", C("ts").cast("timestamp"))
+def stream(spark, d, days: float = 6.52, jitter: int = 0):
+    """The event table as files of ``days`` days that arrive one after the other, a micro-batch each.
+
+    With ``jitter`` the even events of a file's last seconds are in the next one, so they arrive late.
+    """
+    raw, files = spark.read.parquet(f"{d}/events.parquet"), scratch_folder(spark, "events")
+    at = F.unix_timestamp(C("ts").cast("timestamp")) + F.when(C("event_id") % 2 == 0, jitter).otherwise(0)
+    part = F.floor(at / int(days * 86400))
+    for n in [r[0] for r in raw.select(part.alias("n")).distinct().orderBy("n").collect()]:  # one number a file
+        raw.where(part == n).coalesce(1).write.mode("append").parquet(files)
+    schema = raw.schema.simpleString()[7:-1].replace(":", " ")
+    e = S.tick_stream(spark, files, schema, glob="*.parquet", files_per_trigger=1).withColumn("ts", C("ts").cast("timestamp"))
     return e.select(C("event_type").alias("symbol"), "ts", C("event_id").alias("seq"), C("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("volume"), "user_id")
 
 
@@ -28,13 +37,13 @@ def finish(spark, s, name, mode="append"):
   min(price) AS low, arg_max(price, seq) AS close, sum(volume) AS volume, count(*) AS trades FROM ev GROUP BY 1, 2),
 result AS (SELECT * FROM b WHERE bar + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ev))""")
 def p01(spark, d):
-    return finish(spark, S.bars(stream(spark, d), "1 hour"), "bars")
+    return finish(spark, S.bars(stream(spark, d, jitter=300), "1 hour"), "bars")
 
 
 @query("p02_stream_book", "symbol side price:2 size:2", BOOK + ", result AS (SELECT * FROM book)")
 def p02(spark, d):
     bid = C("user_id") % 2 == 0
-    u = stream(spark, d).select(F.lit(0).alias("session"), F.concat(F.lit("S"), (C("user_id") % 5).cast("string")).alias("symbol"), F.when(bid, "bid").otherwise("ask").alias("side"),
+    u = stream(spark, d, jitter=300).select(F.lit(0).alias("session"), F.concat(F.lit("S"), (C("user_id") % 5).cast("string")).alias("symbol"), F.when(bid, "bid").otherwise("ask").alias("side"),
                                 F.when(bid, 100 - F.floor(C("price") / 10)).otherwise(101 + F.floor(C("price") / 10)).cast("double").alias("price"),
                                 F.when(C("volume") % 7 == 0, 0.0).otherwise(C("volume")).alias("size"), "ts", "seq")
     out = scratch_folder(spark, "book")
@@ -59,7 +68,7 @@ def p04(spark, d):
 
     sinks = {"trades": lambda b, i: b.write.mode("append").parquet(out + "/sink=trades"), "broken": broken,
              "large": lambda b, i: b.where("volume > 50").write.mode("append").parquet(out + "/sink=large")}
-    S.run_batches(stream(spark, d), S.fan_out(sinks), out + "-checkpoint")
+    S.run_batches(stream(spark, d, jitter=300), S.fan_out(sinks), out + "-checkpoint")
     return spark.read.parquet(out).groupBy("sink").agg(F.count("*").alias("rows"))
 
 
@@ -96,5 +105,5 @@ def a16(spark, d):
     from ..sources.store import BarStore
     out = scratch_folder(spark, "store")
     store = BarStore(spark, out)
-    S.run_batches(stream(spark, d), S.bar_sink(store), out + "-checkpoint")
+    S.run_batches(stream(spark, d, days=7), S.bar_sink(store), out + "-checkpoint")
     return store.load()
