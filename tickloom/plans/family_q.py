@@ -147,15 +147,15 @@ def q14(spark, d):
 
 
 @query("q15_autocorrelation", "symbol lag# autocorr:6", BARS + ", l AS (" + " UNION ALL ".join(
-    f"SELECT symbol, {i} AS lag, ln(close) AS v, lag(ln(close), {i}) OVER (PARTITION BY symbol ORDER BY ts) AS l FROM bars" for i in range(1, 11)) + """),
+    f"SELECT symbol, {i} AS lag, ln(close) AS v, lag(ln(close), {i}) OVER (PARTITION BY symbol ORDER BY ts) AS l FROM bars" for i in range(1, 41)) + """),
 result AS (SELECT symbol, lag, corr(v, l) AS autocorr FROM l WHERE l IS NOT NULL GROUP BY symbol, lag)""")
 def q15(spark, d):
-    return R.autocorrelation(panel(spark, d), "v", 10)
+    return R.autocorrelation(panel(spark, d), "v")
 
 
 @query("q16_partial_autocorrelation", "symbol lag# pacf:6")
 def q16(spark, d):
-    return R.partial_autocorrelation(R.autocorrelation(panel(spark, d), "v", 20))
+    return R.partial_autocorrelation(R.autocorrelation(panel(spark, d), "v"))
 
 
 @query("q17_decomposition", "symbol ts! trend:6 seasonal:6 resid:6", BARS + """, r AS (SELECT symbol, ts, ln(close) AS v, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS p FROM bars),
@@ -169,7 +169,7 @@ def q17(spark, d):
 
 @query("q18_granger", "pair lag# f:5 p:6")
 def q18(spark, d):
-    return R.granger(pairs(spark, d).select("pair", "ts", "y", "x"), 3)
+    return R.granger(pairs(spark, d).select("pair", "ts", "y", "x"))
 
 
 @query("q19_var_model", "equation n# c0:6 c1:6 c2:6 aic:4")

@@ -74,22 +74,22 @@ def s04(spark, d):
 WORDS2 = r"w2 AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM w2 GROUP BY 1, 2)"
 
 
-@query("s05_bag_of_words", "doc_id# term n#", WORDS2 + """, v AS (SELECT term, sum(n) AS total FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 500),
+@query("s05_bag_of_words", "doc_id# term n#", WORDS2 + """, v AS (SELECT term, sum(n) AS total FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 5000),
 result AS (SELECT tf.* FROM tf JOIN v USING (term))""")
 def s05(spark, d):
-    return T.bag_of_words(docs(spark, d), "doc_id", max_features=500)
+    return T.bag_of_words(docs(spark, d), "doc_id", max_features=5000)
 
 
 TFIDF = r"""l AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM documents),
 g AS (SELECT doc_id, unnest(t) AS term FROM l UNION ALL SELECT doc_id, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) FROM l),
 tf AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY 1, 2),
-v AS (SELECT term, sum(n) AS total, count(*) AS df FROM tf GROUP BY term HAVING count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 500),
+v AS (SELECT term, sum(n) AS total, count(*) AS df FROM tf GROUP BY term HAVING count(*) <= 0.95 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 5000),
 wt AS (SELECT doc_id, term, n * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term)),
 tfidf AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM wt)"""
 
 
 def weights(spark, d):
-    return T.tfidf(docs(spark, d), "doc_id", max_features=500)
+    return T.tfidf(docs(spark, d), "doc_id", max_features=5000)
 
 
 @query("s06_tfidf", "doc_id# term weight:8", TFIDF + ", result AS (SELECT * FROM tfidf)")
