@@ -142,10 +142,10 @@ def fit(rows: list, idf: np.ndarray, languages: list[str], epochs: int = 3, alph
         s = scores / t
         top = s.max(1, keepdims=True)
         right = (1 - doubt) * s[np.arange(len(y)), y] + doubt * s.mean(1)
-        return float(np.mean(np.log(np.exp(s - top).sum(1)) + top[:, 0] - right)) if len(y) else 0.0
+        return float(np.mean(np.log(np.exp(s - top).sum(1)) + top[:, 0] - right))
 
     grid = np.geomspace(0.02, 50, 200)
-    t = float(grid[int(np.argmin([loss(t) for t in grid]))])
+    t = float(grid[int(np.argmin([loss(t) for t in grid]))]) if len(y) else 1.0
     return Model(languages, w * idf[:, None] * 10, bias, t)
 
 
