@@ -222,8 +222,8 @@ def find_repeats(docs: DataFrame, unit: Unit, solve: Callable[[Contexts, Unit],
     copies = ids.join(low, "digest").where("doc_id > low").select("doc_id", "sig").distinct()
     anchors = known.mapInArrow(lambda b: _anchors(b, unit), "anchor long, doc_id long, sig long, place int")
     which = F.xxhash64("sig", "place") if same_text else F.col("sig")
-    shared = (anchors.groupBy("anchor").agg(F.min(which).alias("x"), F.max(which).alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
-              .select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))
+    shared = held(anchors.groupBy("anchor").agg(F.min(which).alias("x"), F.max(which).alias("y"), F.count(F.lit(1)).alias("n")).where("x < y")
+                  .select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("salts")))  # a table of its own, so that the join can split frequent anchors
     places = anchors.join(shared, "anchor").select("doc_id", "sig", "place", "salts").join(copies, ["doc_id", "sig"], "left_anti")
     marks = held(places.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "salts")).alias("marks")))
     rows = known.join(marks, ["doc_id", "sig"]).mapInArrow(lambda b: _bodies(b, unit), CONTEXT)
