@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import held
 from tickloom.llm.textops import STEP, U, mix, pieces, word_hashes
 
-BUCKET_BYTES = 16 << 20  #: text a bucket scores
+BUCKET_BYTES = 12 << 20  #: text a bucket scores
 BUCKETS_PER_SHARD = 16
 START, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 BURN, KEEP = 2, 3
