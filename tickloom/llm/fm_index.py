@@ -25,7 +25,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         nxt = np.zeros(n, np.int64)
         nxt[:-step or n] = rank[step:] + 1
         key = rank * (n + 2) + nxt if step > 1 else rank * (int(rank.max()) + 2) + nxt
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.zeros(n, np.int64)
         new[1:] = key[order[1:]] != key[order[:-1]]
         ranks = np.cumsum(new)
@@ -134,9 +134,11 @@ def earlier_windows(x: Contexts, unit: Unit) -> np.ndarray:
         broke = ~ok & ~probing  # place - 1 breaks the match [place, end)
         left = np.where(broke, place - 1, left)
         goal = np.where(broke, end, goal)
-        held = probing & ok & (place == left)  # the probe got through: a wider one
-        span = np.where(broke, 2, np.where(held, span * 3, span))
-        gone = held & (left + span >= goal)
+        held = probing & ok & (place == left)  # the probe got through: a wider one, halfway to the known break at most
+        width = goal - left
+        wider = np.where(span * 3 < width, span * 3, (span + width + 1) // 2)
+        gone = (held & (span + 1 >= width)) | (broke & (width <= 2))
+        span = np.where(broke, 2, np.where(held, wider, span))
         failed = probing & ~ok  # [place - 1, end) occurs nowhere: the next search ends before its end
         nxt = np.where(failed, end - 1, goal - 1)
         fresh = failed | gone
