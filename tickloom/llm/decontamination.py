@@ -72,7 +72,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, k: int = 5, percent: int = 8
     texts count as empty; null ids are in no pair; repeated rows of an id count once each and merge into one pair;
     empty tables give an empty result; a document shorter than an item is compared whole; other columns are not read.
     """
-    d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("w"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    d = texts.select("doc_id", _words(F.col("text")).alias("w"))
     items = held(bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), _words(F.col(item_text)).alias("w")).where(F.size("w") >= k).distinct())
     sh = [f"w{i}" for i in range(k)]
     key = F.xxhash64(*sh)
@@ -84,7 +85,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, k: int = 5, percent: int = 8
     spots = held(hits.select("doc_id", start.alias("start"), F.col("n").alias("size")).distinct())
 
     lists = spots.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("spots"))
-    wins = d.join(lists, "doc_id").select("doc_id", "w", F.explode("spots").alias("s")).select(
+    wins = texts.join(lists, "doc_id").select("doc_id", _words(F.col("text")).alias("w"), F.explode("spots").alias("s")).select(
         "doc_id", F.col("s.start").alias("start"), F.col("s.size").alias("size"), F.slice("w", F.col("s.start") + 1, F.col("s.size")).alias("w"))
     wins = held(wins.distinct())
     at = ["doc_id", "start", "size"]
