@@ -7,7 +7,10 @@
 3. Multi-index search: fingerprints are cut into BLOCKS blocks. If two differ in at most RADIUS = 2 * BLOCKS - 1
    bits, some block differs in at most one, so items are listed under each block value and its
    one-bit neighbours, and windows look their blocks up among the items of their size. All pairs within the radius are found.
-4. Candidates are checked exactly: weighted Jaccard similarity of the shingles with their multiplicities.
+4. Similar pairs may lie beyond the radius, since words with changed neighbours cost more bits than shingles. Of an item's
+   shingles a similar window lacks at most (100 - percent) %, so it holds one of any set of more; the item is listed under its
+   rarest such set, and windows look their shingles up among the items of their size. No similar pair is left out.
+5. Candidates of both searches are checked exactly: weighted Jaccard similarity of the shingles with their multiplicities.
 """
 
 from __future__ import annotations
@@ -63,6 +66,15 @@ def _listed(fp: Column) -> Column:
     return F.array(*near)
 
 
+def _rarest(counted: DataFrame, sh: list[str], percent: int) -> DataFrame:
+    """Of every item the rarest shingles that a window of similarity ``percent`` cannot all lack, with copies counted."""
+    df = counted.groupBy(*sh).agg(F.count(F.lit(1)).alias("df"))
+    mine = W.partitionBy("item_id")
+    before = F.sum("c2").over(mine.orderBy("df", *sh).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c2")
+    ranked = counted.join(df, sh).withColumns({"before": before, "there": F.sum("c2").over(mine)})
+    return ranked.where(F.col("before") * 100 <= F.col("there") * (100 - percent))
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): documents that hold an item, with the best window of each pair.
@@ -94,10 +106,14 @@ def contaminated(docs: DataFrame, bench: DataFrame, k: int = 5, percent: int = 8
     listed = own.select("item_id", "size", F.col("fp").alias("item_fp"), F.explode(_listed(F.col("fp"))).alias("b")).select("item_id", "size", "item_fp", "b.block", "b.value")
     asked = marks.select(*at, "fp", F.posexplode(F.array(*_block_values(F.col("fp")))).alias("block", "value"))
     near = asked.join(listed, ["size", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = held(near.select(*at, "item_id").distinct())
+    right = _shingle_rows(items, k, ["item_id"]).groupBy("item_id", *sh).agg(F.count(F.lit(1)).alias("c2"))
+    sizes = items.select("item_id", F.size("w").alias("size")).distinct()
+    rare = held(_rarest(right, sh, percent).join(sizes, "item_id").select("size", key.alias("shingle"), "item_id"))
+    looked = _shingle_rows(wins, k, at).select(*at, key.alias("shingle"))
+    beyond = looked.join(F.broadcast(rare) if rare.count() <= SMALL else rare, ["size", "shingle"])
+    near = held(near.select(*at, "item_id").union(beyond.select(*at, "item_id")).distinct())
 
     left = _shingle_rows(wins.join(near, at, "left_semi"), k, at).groupBy(*at, *sh).agg(F.count(F.lit(1)).alias("c"))
-    right = _shingle_rows(items, k, ["item_id"]).groupBy("item_id", *sh).agg(F.count(F.lit(1)).alias("c2"))
     shared = near.join(left, at).join(right, ["item_id", *sh]).groupBy(*at, "item_id").agg(F.sum(F.least("c", "c2")).alias("both"))
     here = left.groupBy(*at).agg(F.sum("c").alias("here"))
     there = right.groupBy("item_id").agg(F.sum("c2").alias("there"))
