@@ -45,10 +45,14 @@ VALUE_SPEC = "symbol ts! pe_ratio:8 earnings_yield:6 pb_ratio:8 book_yield:6 ev_
   net_income / (price + 1e-8) AS earnings_yield, price / (equity + 1e-8) AS pb_ratio, equity / (price + 1e-8) AS book_yield,
   assets / (revenue + 1e-8) AS ev_ebitda, price / (revenue + 1e-8) AS ps_ratio, assets / (revenue + 1e-8) AS mcap_revenue FROM fund)""")
 def f02(spark, d):
-    f = fundamentals(spark, d).select("symbol", "ts", "price", F.col("net_income").alias("earnings"), F.col("equity").alias("book_value"),
-                                      F.col("assets").alias("enterprise_value"), F.col("revenue").alias("ebitda"), "revenue",
-                                      F.col("assets").alias("market_cap"))
-    return A.value(f)
+    return A.value(prices(spark, d))
+
+
+def prices(spark, d):
+    """Inputs of the value factors."""
+    return fundamentals(spark, d).select("symbol", "ts", "price", F.col("net_income").alias("earnings"), F.col("equity").alias("book_value"),
+                                         F.col("assets").alias("enterprise_value"), F.col("revenue").alias("ebitda"), "revenue",
+                                         F.col("assets").alias("market_cap"))
 
 
 VOLS = f"""v0 AS (SELECT symbol, ts, ln(close / lag(close) OVER ({W})) AS lr, pow(ln(high / low), 2) AS hl,
@@ -77,8 +81,16 @@ def f04(spark, d):
 @query("f05_all_factors", "symbol ts! mom_21:8 mom_diff:8 realized_vol_21:6 vol_ratio:6 roe:8 leverage:8", FUND + f",\n{MOM},\n{VOLS}, q AS ({QUALITY_SQL}), " + """
 result AS (SELECT * FROM mom FULL JOIN vols USING (symbol, ts) FULL JOIN q USING (symbol, ts))""")
 def f05(spark, d):
-    f = fundamentals(spark, d)
-    return A.all_factors(bars(spark, d), None, f)
+    return A.all_factors(bars(spark, d), prices(spark, d), fundamentals(spark, d))
+
+
+@query("f05_all_factors_value", "symbol ts! mom_21:8 realized_vol_21:6 roe:8 leverage:8 pe_ratio:8 earnings_yield:6 pb_ratio:8 book_yield:6 ev_ebitda:6 ps_ratio:8 mcap_revenue:6",
+       FUND + f",\n{MOM},\n{VOLS}, q AS ({QUALITY_SQL}), " + """
+v AS (SELECT symbol, ts, price / (net_income + 1e-8) AS pe_ratio, net_income / (price + 1e-8) AS earnings_yield, price / (equity + 1e-8) AS pb_ratio, equity / (price + 1e-8) AS book_yield,
+  assets / (revenue + 1e-8) AS ev_ebitda, price / (revenue + 1e-8) AS ps_ratio, assets / (revenue + 1e-8) AS mcap_revenue FROM fund),
+result AS (SELECT * FROM mom FULL JOIN vols USING (symbol, ts) FULL JOIN q USING (symbol, ts) FULL JOIN v USING (symbol, ts))""")
+def f05b(spark, d):
+    return f05(spark, d)
 
 
 @query("f06_financial_ratios", "symbol net_margin:8 gross_margin:6 roe:8 roa:8 debt_to_equity:8 debt_to_assets:8 current_ratio:8 price_to_book:6", FUND + """,

@@ -53,18 +53,30 @@ orders_ AS (SELECT id, symbol, ts, CASE WHEN v % 2 = 0 THEN 'buy' ELSE 'sell' EN
   close * CASE WHEN v % 3 = 1 THEN CASE WHEN v % 2 = 0 THEN 0.2 ELSE 5 END ELSE CASE WHEN v % 2 = 0 THEN 5 ELSE 0.2 END END AS price FROM od)"""
 
 
-@query("k03_order_fills", "id symbol fill_ts! fill_price:8", ORDERS + """,
+FILLS = """,
 h AS (SELECT o.id, o.symbol, b.ts, CASE WHEN kind = 'market' THEN open WHEN kind = 'limit' THEN CASE WHEN side = 'buy' THEN least(open, price) ELSE greatest(open, price) END
   ELSE CASE WHEN side = 'buy' THEN greatest(open, price) ELSE least(open, price) END END AS px
   FROM orders_ o JOIN bars b ON o.symbol = b.symbol AND b.ts > o.ts
   AND (kind = 'market' OR (kind = 'limit' AND CASE WHEN side = 'buy' THEN low <= price ELSE high >= price END)
     OR (kind = 'stop' AND CASE WHEN side = 'buy' THEN high >= price ELSE low <= price END))),
-result AS (SELECT id, any_value(symbol) AS symbol, min(ts) AS fill_ts, ln(arg_min(px, ts)) AS fill_price FROM h GROUP BY id)""")
+result AS (SELECT id, any_value(symbol) AS symbol, min(ts) AS fill_ts, ln(arg_min(px, ts)) AS fill_price FROM h GROUP BY id)"""
+
+
+@query("k03_order_fills", "id symbol fill_ts! fill_price:8", ORDERS + FILLS)
 def k03(spark, d):
+    return fills(spark, d, "volume % 5 = 0")
+
+
+@query("k03_order_fills_all", "id symbol fill_ts! fill_price:8", ORDERS.replace(" WHERE volume % 5 = 0", "") + FILLS)
+def k03b(spark, d):
+    return fills(spark, d, "true")
+
+
+def fills(spark, d, wanted):
     b = bars(spark, d)
     v = F.col("volume").cast("long")
     buy = v % 2 == 0
-    o = b.where("volume % 5 = 0").select(
+    o = b.where(wanted).select(
         F.concat_ws("/", "symbol", F.col("ts").cast("string")).alias("id"), "symbol", "ts", F.when(buy, "buy").otherwise("sell").alias("side"),
         F.when(v % 3 == 0, "market").when(v % 3 == 1, "limit").otherwise("stop").alias("kind"),
         (F.col("close") * F.when(v % 3 == 1, F.when(buy, 0.2).otherwise(5.0)).otherwise(F.when(buy, 5.0).otherwise(0.2))).alias("price"))

@@ -96,10 +96,10 @@ lv AS (SELECT *, entry_price - s * entry_price * 0.05 AS fs, best - s * best * 0
 ht AS (SELECT *, s * (close - fs) <= 0 AS hf, s * (close - trs) <= 0 AS htr, s * (close - ats) <= 0 AS ha, held >= 20 AS hti FROM lv)"""
 
 
-def levels(spark, d):
+def levels(spark, d, wanted="volume % 10 = 0"):
     b = I.atr(bars(spark, d)).select("symbol", "ts", "close", "volume", "atr")
     b = durable(b)
-    p = b.where("volume % 10 = 0").select(
+    p = b.where(wanted).select(
         F.concat_ws("/", "symbol", F.col("ts").cast("string")).alias("id"), "symbol", F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price"),
         F.when(F.col("volume") % 2 == 0, "long").otherwise("short").alias("side"), F.date_add("ts", 90).alias("horizon"))
     return R.stop_levels(R.stop_paths(p, b.drop("volume")))
@@ -117,6 +117,19 @@ def m12(spark, d):
     return R.combined_exit(levels(spark, d))
 
 
+ALL_STOPS = STOPS.replace(" WHERE volume % 10 = 0", "")
+for _rule, _flag, _n in (("fixed", "hf", "m08_fixed_stop"), ("trailing", "htr", "m09_trailing_stop"), ("atr", "ha", "m10_atr_stop"), ("time", "hti", "m11_time_stop")):
+    query(f"{_n}_all", "id exit_ts! exit_price:8", ALL_STOPS + f", result AS (SELECT id, min(ts) AS exit_ts, arg_min(close, ts) AS exit_price FROM ht WHERE {_flag} GROUP BY id)")(
+        lambda spark, d, r=_rule: R.stop_exit(levels(spark, d, "true"), r))
+
+
+@query("m12_combined_stops_all", "id exit_ts! exit_price:8 rule", ALL_STOPS + """,
+r AS (SELECT *, CASE WHEN hf THEN 'fixed' WHEN htr THEN 'trailing' WHEN ha THEN 'atr' WHEN hti THEN 'time' END AS rule FROM ht),
+result AS (SELECT id, min(ts) AS exit_ts, arg_min(close, ts) AS exit_price, arg_min(rule, ts) AS rule FROM r WHERE rule IS NOT NULL GROUP BY id)""")
+def m12b(spark, d):
+    return R.combined_exit(levels(spark, d, "true"))
+
+
 OD = """od AS (SELECT o_orderkey AS id, 'S' || (o_custkey % 10) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 1 + o_custkey % 500 AS qty,
   CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_totalprice / 1000 END AS price, CASE WHEN o_orderpriority = '1-URGENT' THEN 50.0 END AS limit_price,
   o_custkey % 300 - 100 AS held_qty, o_totalprice AS total_value, 1000 - o_custkey AS daily_pnl, o_totalprice * 2 AS portfolio_value, o_orderdate AS ts FROM orders)"""

@@ -1,5 +1,7 @@
 """Financial text."""
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.clustering import KMeans
@@ -257,7 +259,7 @@ def s21(spark, d):
 @query("s22_participants", "conv_id# names", CONV + """, result AS (SELECT conv_id, CASE WHEN bool_or(line LIKE 'Ann Lee - CEO%') THEN 'Ann Lee' ELSE '' END AS names FROM cl GROUP BY conv_id)""")
 def s22(spark, d):
     t = transcripts(spark, d)
-    return t.select("conv_id", F.array_join(F.filter(D.participants("text"), lambda n: n == "Ann Lee"), "|").alias("names"))
+    return t.select("conv_id", F.array_join(D.participants("text"), "|").alias("names"))
 
 
 @query("s23_transcript_metrics", "conv_id# metric value:2 unit context_length#")
@@ -484,6 +486,20 @@ def s42(spark, d):
     return P.compare_topics(w.where("lang = 'en'"), w.where("lang = 'fr'"))
 
 
+@query("s42_topic_similarity_all", "lang_a lang_b a# b# similarity:8", CMP + """,
+q AS (SELECT lang, topic, sum(weight * weight) AS q FROM lw GROUP BY ALL),
+dt AS (SELECT a.lang AS lang_a, b.lang AS lang_b, a.topic AS a, b.topic AS b, sum(a.weight * b.weight) AS dot FROM lw a JOIN lw b ON a.word = b.word AND a.lang < b.lang GROUP BY ALL),
+result AS (SELECT x.lang AS lang_a, y.lang AS lang_b, x.topic AS a, y.topic AS b, coalesce(dot, 0) / sqrt(x.q * y.q) AS similarity FROM q x JOIN q y ON x.lang < y.lang
+  LEFT JOIN dt ON dt.lang_a = x.lang AND dt.lang_b = y.lang AND dt.a = x.topic AND dt.b = y.topic)""")
+def s42b(spark, d):
+    w = docs(spark, d).select("lang", F.explode(D.tokens("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").cast("double").alias("weight"))
+    w = durable(w.withColumn("topic", F.length("word") % 4))
+    langs = sorted(r[0] for r in w.select("lang").where("lang is not null").distinct().collect())
+    pairs = [P.compare_topics(w.where(F.col("lang") == x), w.where(F.col("lang") == y)).withColumns({"lang_a": F.lit(x), "lang_b": F.lit(y)})
+             for i, x in enumerate(langs) for y in langs[i + 1:]]
+    return reduce(lambda p, q: p.unionByName(q), pairs)
+
+
 @query("s43_topic_evolution", "source topic_0:8 topic_1:8 topic_2:8 topic_3:8", TOPIC + ", result AS (SELECT source, " + ", ".join(
     f"avg(CASE WHEN topic = {i} THEN weight END) AS topic_{i}" for i in range(4)) + " FROM tw JOIN documents USING (doc_id) GROUP BY source)")
 def s43(spark, d):
