@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontamination, fm_index, jaccard, knn, langid, mixing, pitman_yor, preference, suffix_array, toxicity
+from tickloom.llm import codes, decontamination, fm_index, jaccard, knn, langid, mixing, packing, periodic, pitman_yor, preference, suffix_array, toxicity
+from tickloom.llm.common import GAP, held
 from tickloom.llm.registry import query, table
 
 MIX_SQL = r"""
@@ -163,3 +164,88 @@ def op2_decontamination(spark, sf_dir):
 def op6_pitman_yor(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return pitman_yor.score_texts(docs.select("doc_id", "text", (_fold(7) == 2).alias("held_out")))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """All rounds one after another; ``b0`` are the first codebooks, ``b6`` the last."""
+    steps = [f"""WITH v0 AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v1 AS (SELECT vec_id, label, v, len(v) // {parts} AS d, unnest(range(len(v))) AS i FROM v0),
+v AS MATERIALIZED (SELECT vec_id, i // d AS p, i % d AS j, v[i + 1] AS x FROM v1),
+b0 AS MATERIALIZED (SELECT p, e, j, x AS c FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v0 ORDER BY vec_id LIMIT {entries}) USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, p, e, dist FROM (SELECT vec_id, p, e, sum((x - c) * (x - c)) AS dist FROM v JOIN b{r} USING (p, j) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY dist, e) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, e, j, sum(x) AS s, count(*) AS n FROM v JOIN a{r} USING (vec_id, p) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, b.j, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, c) AS c FROM b{r} b LEFT JOIN m{r} USING (p, e, j))""")
+    return ",\n".join(steps) + f"""
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, j)) FROM b{rounds}) AS codebooks_sha256
+FROM (SELECT vec_id, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY 1) JOIN (SELECT vec_id, label FROM v0) USING (vec_id)
+"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    books = codes.train(vectors)
+    coded = held(codes.encode(vectors, books, keep=("label",)))
+    sums = coded.groupBy(F.col("label").alias("same")).agg(F.sum(F.col("error").cast("decimal(38,0)")).cast("long").alias("label_error"))
+    digits = F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("same"))).select(
+        "vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+@query("op12_packing")
+def op12_packing(spark, sf_dir):
+    import public_tokenizers
+
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+PERIODIC_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295) AS h FROM documents),
+a AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+g AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i + 1:i + 16], ' ') AS s FROM (SELECT doc_id, w, unnest(range(n - 15)) AS i FROM t)),
+j AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.s = y.s AND x.i < y.i),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM j),
+l AS (SELECT doc_id, q, min(i) AS lo, max(i) + 16 + q AS hi FROM k GROUP BY doc_id, q, k.k HAVING max(i) + 16 + q - min(i) >= greatest(24, 3 * q)),
+r AS MATERIALIZED (SELECT doc_id, lo, hi - lo AS len, min(q) AS q FROM l GROUP BY ALL),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len::DOUBLE / q DESC, lo, q) = 1),
+every AS (SELECT doc_id, count(*) AS n_runs, string_agg(lo || ',' || len || ',' || q || chr(10), '' ORDER BY lo, q) AS runs FROM r GROUP BY 1),
+u AS (SELECT doc_id, w[i + 1] AS word, i FROM (SELECT doc_id, w, unnest(range(n)) AS i FROM t)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(lo + q, lo + len)) AS i FROM r),
+kept AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u ANTI JOIN gone ON u.doc_id = gone.doc_id AND u.i = gone.i GROUP BY 1)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, lo AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def made_periodic(docs):
+    """``docs`` with a periodic end in each text whose crc32(doc_id) ends in 0, as the contract of op13 has it; a null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = F.filter(F.split(F.coalesce("text", F.lit("")), GAP), lambda x: x != "")
+    d = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, split).alias("w"))
+    d = d.withColumn("n", F.coalesce(F.size("w"), F.lit(0)).cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    d = d.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)")).withColumn("a", F.col("a").cast("int")).withColumn("rest", F.expr("cast(n as int) - a"))
+    whole = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.expr("cast(rest div p as int)")))
+    new = F.concat(F.slice("w", F.lit(1), F.col("a")), whole, F.slice("w", F.col("a") + 1, F.col("rest") % F.col("p")))
+    return d.select("doc_id", F.when(F.col("n") > 0, F.array_join(new, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs", PERIODIC_SQL)
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic.collapse(made_periodic(table(spark, sf_dir, "documents")))
+    longer = lambda r, b: r["length"] * b["period"] > b["length"] * r["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(longer(r, b), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("collapsed_sha256"))
