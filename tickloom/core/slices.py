@@ -12,6 +12,10 @@ over many tasks:
 
 Frames of at most ``back`` / ``ahead`` rows are then exact inside a slice. Unbounded running
 aggregates add one more partial aggregate per bin and a prefix over bins.
+
+A bin that holds more than ``rows`` rows is cut again by :func:`fitted` before step 2, at splitters that a
+quantile sketch of that bin alone gives, and its pieces are counted, until every piece fits. What remains
+whole are rows that are equal in all order columns.
 """
 
 from __future__ import annotations
@@ -21,10 +25,15 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import durable
 
 ROWS_PER_SLICE = 250_000
 
 _INTERNAL = ("_bin", "_begin", "_slice", "_own", "_total")
+FAN = 64  #: splitters of a bin that is cut again, at most
+SKETCH = 2_000  #: accuracy of the quantile sketch: a piece is off by at most 1 / SKETCH of its bin
 
 
 def time_bin(unit: str, column: str) -> Column:
@@ -146,19 +155,76 @@ class Series:
 NULL_BIN = 1 << 62
 
 
-def bin_map(df: DataFrame, keys: Sequence[str], rows: int, back: int = 0, ahead: int = 0) -> DataFrame:
+def _sortable(df: DataFrame, order: Sequence) -> list[str]:
+    """The leading order columns that a quantile sketch takes."""
+    out = []
+    for c in order:
+        if not isinstance(c, str) or not isinstance(df.schema[c].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            break
+        out.append(c)
+    return out
+
+
+def _counts(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Rows of every bin, and the first order column that differs inside it (none: all rows are equal)."""
+    ends = [f(n).alias(f"_{k}{i}") for i, n in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max), ("c", F.count))]
+    g = df.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"), *ends)
+    some = [F.when((F.col(f"_lo{i}") < F.col(f"_hi{i}")) | ((F.col(f"_c{i}") > 0) & (F.col(f"_c{i}") < F.col("_n"))), i) for i in range(len(names))]
+    return g.select(*keys, "_bin", "_n", F.coalesce(*some, F.lit(None).cast("int")).alias("_by"))
+
+
+def fitted(df: DataFrame, keys: Sequence[str], order: Sequence, rows: int, only: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_bin`` cut until no bin holds more than ``rows`` rows of different order, and (keys, _bin, _n, _by).
+
+    Every round counts the pieces of the last one and cuts those that are too large at up to FAN splitters; values
+    equal to a splitter are a piece of their own. The number of rounds follows the logarithm of the largest bin,
+    whatever its values; without a large bin there is only the count that :func:`bin_map` needs anyway. The counts are a
+    checkpoint of one short row per bin. ``only`` picks the bins that matter (of the counts); others stay as they are.
+    """
+    keys, names = list(keys), _sortable(df, order)
+    pick = only or (lambda c: c)
+    counts = durable(_counts(df, keys, names))
+    if not names:
+        return df, counts
+    while True:
+        large = pick(counts).where((F.col("_n") > rows) & F.col("_by").isNotNull()).select(*keys, "_bin", "_by")
+        if large.isEmpty():
+            return df, counts
+        probs = [i / FAN for i in range(1, FAN)]
+        sketch = [F.percentile_approx(F.when(F.col("_by") == i, F.col(n)), probs, SKETCH).alias(f"_cut{i}") for i, n in enumerate(names)]
+        cuts = durable(match(df, large, keys + ["_bin"], "inner").groupBy(*keys, "_bin").agg(*sketch))
+        df = match(df, cuts, keys + ["_bin"])
+        side = [F.when(F.col(f"_cut{i}").isNotNull(), F.coalesce(_place_among(f"_cut{i}", n), F.lit(-1))) for i, n in enumerate(names)]
+        df = df.withColumn("_now", F.coalesce(*side).isNotNull()).withColumn("_bin", F.struct(F.col("_bin").alias("b"), F.coalesce(*side, F.lit(0)).alias("s")))
+        df = df.drop(*[f"_cut{i}" for i in range(len(names))])
+        kept = match(counts, large.select(*keys, "_bin"), keys + ["_bin"], "left_anti")
+        kept = kept.withColumn("_bin", F.struct(F.col("_bin").alias("b"), F.lit(0).alias("s")))
+        counts = durable(kept.select(*keys, "_bin", "_n", "_by").unionByName(_counts(df.where("_now"), keys, names)))
+        df = df.drop("_now")
+
+
+def _place_among(cuts: str, value: str) -> Column:
+    """Twice the number of splitters below ``value``, plus one where it equals a splitter."""
+    return F.aggregate(F.array_distinct(cuts), F.lit(0), lambda n, c: n + F.when(c < F.col(value), 2).when(c == F.col(value), 1).otherwise(0))
+
+
+def bin_map(df: DataFrame, keys: Sequence[str], rows: int, back: int = 0, ahead: int = 0, counts: DataFrame | None = None) -> DataFrame:
     """(keys, _bin) -> _begin, the slices that need the bin and the rows of the key outside the
-    null bin. ``df`` carries ``_bin``."""
+    null bin. ``df`` carries ``_bin``; ``counts`` are its (keys, _bin, _n) where they are known."""
     keys = list(keys)
-    counts = df.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts.select(*keys, "_bin", "_n")
     w = Window.partitionBy(*keys).orderBy("_bin")
     m = counts.withColumn(
         "_begin", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
     m = m.withColumn("_slice", F.floor(F.col("_begin") / F.lit(rows)).cast("long"))
     own = F.struct(F.col("_slice"), F.lit(True).alias("_own"))
     if not back and not ahead:
-        total = F.sum(F.when(F.col("_bin") == F.lit(NULL_BIN), 0).otherwise(F.col("_n"))).over(Window.partitionBy(*keys))
-        if dict(df.dtypes)["_bin"] != "bigint":
+        first = "_bin"  # the bin before it was cut again
+        kind = df.schema["_bin"].dataType
+        while isinstance(kind, T.StructType):
+            first, kind = first + ".b", kind["b"].dataType
+        total = F.sum(F.when(F.col(first) == F.lit(NULL_BIN), 0).otherwise(F.col("_n"))).over(Window.partitionBy(*keys))
+        if not isinstance(kind, T.LongType):
             total = F.sum("_n").over(Window.partitionBy(*keys))
         return m.select(*keys, "_bin", "_begin", total.alias("_total"), F.array(own).alias("_to"))
     ws = Window.partitionBy(*keys, "_slice")
@@ -189,11 +255,11 @@ def spread(
     rows: int | None = None,
 ) -> Series:
     """Cut each series of ``df`` into slices; ``bin`` is a date_trunc unit of the first order
-    column or any column that never decreases along the order."""
+    column or any column that never decreases along the order. Bins of more rows than a slice are cut again."""
     rows = max(rows or ROWS_PER_SLICE, back, ahead, 1)
     b = time_bin(bin, order[0]) if isinstance(bin, str) else bin
-    df = df.withColumn("_bin", b)
-    m = bin_map(df, keys, rows, back, ahead)
+    df, counts = fitted(df.withColumn("_bin", b), keys, order, rows)
+    m = bin_map(df, keys, rows, back, ahead, counts)
     return Series(_place(df, m, keys), keys, order, m, bool(back or ahead))
 
 
