@@ -8,6 +8,7 @@ The second pass cuts every document at the multiples of the sequence size. No ro
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 from tickloom.llm.textops import pieces
 from tickloom.session import scratch_folder
 
-WORDS_HELD = 400_000  #: encoded words that a Python worker remembers
+WORDS_HELD = 800_000  #: encoded words that a Python worker remembers
 PROBE = "a b,c  It's (x) 'tis 3d\n\tend."
-PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")  #: ASCII letters, then marks other than the apostrophe
+LETTERS = [c for c in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)]) if c.isalpha()]  #: of Latin script, none of which joins the one before it
+MARKS = "!-&(-/:-@\\[-`{-~"  #: ASCII marks other than the apostrophe, as a class of a pattern
 _encoders: dict[str, Encoder] = {}
 
 
@@ -40,8 +42,14 @@ class Encoder:
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
         self.model, self.normalizer, self.splitter = whole.model, whole.normalizer, whole.pre_tokenizer
-        self.short = all(self._parts(w) == [p for p in (m[1].lower(), m[2]) if p] for w in ("Word", "word.,", "aB$$%", "x-") for m in [PLAIN.fullmatch(w)])
+        spelt = {c: self._parts(c) for c in LETTERS}
+        spelt = {c: p[0] for c, p in spelt.items() if len(p) == 1 and self._parts(f"x{c}x") == [f"x{p[0]}x"]}
+        self.spelling = str.maketrans(spelt)  # of letters by the splitter's own alphabet
+        self.plain = re.compile(f"([{''.join(spelt)}]+)([{MARKS}]*)") if spelt else re.compile("(?!)()()")
+        if any(self._parts(w) != [p for p in (m[1].translate(self.spelling), m[2]) if p] for w in ("Word", "word.,", "aB$$%", "x-") for m in [self.plain.fullmatch(w)] if m):
+            self.plain = re.compile("(?!)()()")  # letters and marks do not part: no short cut
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
         if b"".join(map(self.encode, PROBE.split())) != np.array(whole.encode(PROBE, add_special_tokens=False).ids, "<u4").tobytes():
             raise ValueError("the tokenizer looks across white space")
 
@@ -49,15 +57,24 @@ class Encoder:
         word = self.normalizer.normalize_str(word) if self.normalizer else word
         return [p for p, _ in self.splitter.pre_tokenize_str(word)] if self.splitter else [word]
 
+    def _piece(self, part: str) -> bytes:
+        ids = self.pieces.get(part)
+        if ids is None:
+            ids = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+            if len(part) < 64:
+                self.pieces[part] = ids
+        return ids
+
     def encode(self, word: str) -> bytes:
-        """The ids of a word, 32 bits each, little-endian."""
-        plain = PLAIN.fullmatch(word) if self.short else None
-        parts = [p for p in (plain[1].lower(), plain[2]) if p] if plain else self._parts(word)
-        return np.array([t.id for p in parts for t in self.model.tokenize(p)], "<u4").tobytes()
+        """The ids of a word, 32 bits each, little-endian. Letters with marks after them take a short cut past normalizer and splitter."""
+        m = self.plain.fullmatch(word)
+        if m:
+            return self._piece(m[1].translate(self.spelling)) + self._piece(m[2])
+        return b"".join(map(self._piece, self._parts(word)))
 
     def table(self, words: list[str]) -> list[bytes]:
-        if len(self.known) > WORDS_HELD:
-            self.known = {"": b""}
+        if len(self.known) + len(self.pieces) > WORDS_HELD:
+            self.known, self.pieces = {"": b""}, {"": b""}
         known, out = self.known, []
         for w in words:
             ids = known.get(w)
