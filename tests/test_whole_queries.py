@@ -7,9 +7,9 @@ from test_queries import SF, duck  # noqa: F401  duck is a fixture
 import __spark_entry__ as entry
 from tickloom.plans import family_s
 
-WHOLE = {"a12_wide_to_panel_all": "count(distinct symbol) = 25", "g10_wide_to_long_all": "count(distinct symbol) = 25", "k03_order_fills_all": "count(distinct symbol) = 25",
-         "f05_all_factors_value": "count(pe_ratio) > 0", "s42_topic_similarity_all": "count(distinct lang_a, lang_b) = 6"} | {
-    n: "count(distinct id) > 0" for n in ("m08_fixed_stop_all", "m09_trailing_stop_all", "m10_atr_stop_all", "m11_time_stop_all", "m12_combined_stops_all")}
+WHOLE = {"a12_wide_to_panel": "count(distinct symbol) = 25", "g10_wide_to_long": "count(distinct symbol) = 25", "k03_order_fills": "count(distinct symbol) = 25",
+         "f05_all_factors_value": "count(pe_ratio) > 0", "s42_topic_similarity": "count(distinct lang_a, lang_b) = 6"} | {
+    n: "count(distinct id) > 0" for n in ("m08_fixed_stop", "m09_trailing_stop", "m10_atr_stop", "m11_time_stop", "m12_combined_stops")}
 
 
 def rows(df):

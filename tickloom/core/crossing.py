@@ -77,6 +77,7 @@ def _look(series: DataFrame, searches: DataFrame, keys: list[str], rows: int) ->
     per = searches.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_many"))
     shares = per.withColumn("_share", F.explode(F.sequence(F.lit(0), F.floor((F.col("_many") - 1) / SEARCHES).cast("int"))))
     s = match(series.withColumn("_block", F.floor(F.col("_pos") / rows)), shares.select(*keys, "_block", "_share"), keys + ["_block"], "inner")
+    s = s.select(*[F.col(c).alias(c) for c in s.columns])  # searches are often made of the series itself
     q = match(searches, per.where(F.col("_many") > SEARCHES), keys + ["_block"])
     several = F.floor((F.col("_many") - 1) / SEARCHES).cast("int") + 1
     q = q.withColumn("_share", F.coalesce(F.pmod(F.xxhash64(*searches.columns), several).cast("int"), F.lit(0))).drop("_many")
@@ -106,7 +107,7 @@ def first_crossing(series: DataFrame, searches: DataFrame, keys: Sequence[str],
     """``searches`` with ``out``: the first ``pos`` from ``start`` on where ``value`` >= ``level`` (``up`` false: <=), null if there is none.
 
     ``series`` holds (keys, pos, value), pos counting the rows of a key from 0. A null or NaN value reaches nothing, and
-    a null level is reached by nothing. Searches keep all their columns; several may be equal.
+    a null level is reached by nothing. Searches keep all their columns (none named _at, _level, _block, _share, _hit or _from); several may be equal.
     """
     keys, rows = list(keys), max(2, slices.ROWS_PER_SLICE)
     sign = 1.0 if up else -1.0

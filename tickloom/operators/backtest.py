@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core.asof import asof
+from ..core.crossing import first_crossing
 from ..core.folds import fold_sorted
 from ..core.ranking import quantiles
 from ..core.slices import match, over_rows, spread
@@ -112,30 +114,23 @@ def walk_forward(signals: DataFrame, splits: int = 5, train: float = 0.7) -> Dat
 
 
 def order_fills(orders: DataFrame, bars: DataFrame) -> DataFrame:
-    """First later bar that fills each order (id, symbol, ts, side, kind, price).
+    """First later bar that fills each order (id, symbol, ts, side, kind, price); bars are unique per symbol and ts.
 
-    Monthly extremes tell the first month that can fill an order, so an order meets the bars of
-    its own month and of that month only, not its whole future.
+    Market orders take the next bar. A limit or stop order is a search for the first later bar whose low or high
+    reaches its price: two block lookups however far away that bar is.
     """
-    def fillable(lo: str, hi: str) -> Column:
-        buy = C("side") == "buy"
-        limit = F.when(buy, C(lo) <= C("price")).otherwise(C(hi) >= C("price"))
-        stop = F.when(buy, C(hi) >= C("price")).otherwise(C(lo) <= C("price"))
-        return F.when(C("kind") == "market", True).when(C("kind") == "limit", limit).otherwise(stop)
-
-    month = lambda c: F.date_trunc("month", C(c)).alias("month")
-    b = bars.select("symbol", C("ts").alias("bar_ts"), "open", "high", "low", month("ts"))
-    m = b.groupBy("symbol", "month").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
-    o = orders.withColumn("_m", F.date_trunc("month", C("ts")))
-    later = o.join(m, "symbol").where((C("month") > C("_m")) & fillable("lo", "hi")).groupBy("id").agg(F.min("month").alias("_next"))
-    o = o.join(later, "id", "left").withColumn("month", F.explode(F.array_compact(F.array("_m", "_next"))))
-    hit = o.join(b, ["symbol", "month"]).where((C("bar_ts") > C("ts")) & fillable("low", "high"))
-    buy = C("side") == "buy"
+    b = durable(spread(bars.select("symbol", "ts", "open", "high", "low")).position("pos").done())
+    o = asof(orders.select("id", "symbol", "ts", "side", "kind", C("price").cast("double")), b.select("symbol", "ts", "pos"), ["symbol"], "ts", ["pos"])
+    o = durable(o.withColumn("_start", F.coalesce(C("pos") + 1, F.lit(0).cast("long"))).drop("pos", "ts"))
+    buy, market, limit = C("side") == "buy", C("kind") == "market", C("kind") == "limit"
+    falls = (limit & buy) | (~limit & ~buy)
+    low = first_crossing(b, o.where(~market & falls), ["symbol"], "low", "price", "_start", "_pos", up=False)
+    high = first_crossing(b, o.where(~market & ~falls), ["symbol"], "high", "price", "_start", "_pos")
+    hit = low.unionByName(high).unionByName(o.where(market).withColumn("_pos", C("_start"))).where("_pos is not null")
+    hit = match(hit, b.select("symbol", C("pos").alias("_pos"), C("ts").alias("fill_ts"), "open"), ["symbol", "_pos"], "inner")
     better_low, worse_high = F.least("open", "price"), F.greatest("open", "price")
-    px = F.when(C("kind") == "market", C("open")).when(C("kind") == "limit", F.when(buy, better_low).otherwise(worse_high)) \
-          .otherwise(F.when(buy, worse_high).otherwise(better_low))
-    return hit.withColumn("_px", px).groupBy("id").agg(
-        F.first("symbol").alias("symbol"), F.min("bar_ts").alias("fill_ts"), F.min_by("_px", "bar_ts").alias("fill_price"))
+    px = F.when(market, C("open")).when(limit, F.when(buy, better_low).otherwise(worse_high)).otherwise(F.when(buy, worse_high).otherwise(better_low))
+    return hit.select("id", "symbol", "fill_ts", px.alias("fill_price"))
 
 
 def pair_backtest(pairs: DataFrame, cost: float = 0.001, entry: float = 2.0, exit: float = 0.5, n: int = 20, least: int = 100) -> DataFrame:

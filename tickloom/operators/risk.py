@@ -8,8 +8,10 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core.asof import asof
+from ..core.crossing import first_crossing
 from ..core.ranking import quantiles
-from ..core.slices import spread
+from ..core.slices import match, spread
 from ..session import durable
 from .calendar import market_open
 from .metrics import drawdown
@@ -120,6 +122,69 @@ def combined_exit(levels: DataFrame) -> DataFrame:
     return d.groupBy("id").agg(F.min("ts").alias("exit_ts"), F.min_by("close", "ts").alias("exit_price"), F.min_by("rule", "ts").alias("rule"))
 
 
+RULES = ("fixed", "trailing", "atr", "time")
+
+
+def _best_since(found: DataFrame, value: str = "_f") -> DataFrame:
+    """(symbol, pos): the earliest hit over all anchors from ``pos`` on, a running minimum from the end of the series."""
+    d = found.select("symbol", C("_ref").alias("pos"), value, (-C("_ref")).alias("_neg"))
+    return spread(d, order=["_neg"], bin=F.floor(C("_neg") / 65_536)).run(_g=("min", C(value))).done("_neg", value)
+
+
+def stop_exits(positions: DataFrame, bars: DataFrame, fixed_pct: float = 0.05, trail_pct: float = 0.1, atr_multiplier: float = 2.0, max_bars: int = 20,
+               rules: Sequence[str] = RULES) -> DataFrame:
+    """(id, rule, exit_ts, exit_price): the first bar after the entry, and up to the horizon, on which each rule fires.
+
+    Positions are (id, symbol, entry_ts, entry_price, side, horizon); bars are unique per symbol and ts, with an ``atr`` column for that rule.
+    No position meets the bars of its life. A fixed stop is a search for the first bar beyond a level. A trailing
+    stop fires at the earliest bar that lies far enough below any earlier close: every bar is an anchor with a search of its
+    own, and the earliest answer over all anchors after an entry is a running minimum from the end, looked up once;
+    the entry price is one more anchor. Searches cost two block lookups however long a position is held.
+    """
+    has_atr = "atr" in bars.columns and "atr" in rules
+    b = spread(bars.select("symbol", "ts", C("close").cast("double"), *(["atr"] if has_atr else []))).position("pos").done()
+    b = durable(b)
+    p = positions.select("id", "symbol", C("entry_ts").alias("ts"), C("entry_price").cast("double").alias("_entry"), (C("side") == "long").alias("_long"), "horizon")
+    p = asof(p, b.select("symbol", "ts", "pos"), ["symbol"], "ts", ["pos"]).withColumn("_start", F.coalesce(C("pos") + 1, F.lit(0).cast("long"))).drop("pos", "ts")
+    p = durable(p)
+    none = F.lit(None).cast(p.schema["id"].dataType).alias("id")
+    found = []
+    for long in (True, False):
+        mine = p.where("_long" if long else "not coalesce(_long, false)")
+        off = (lambda x, part: x - part) if long else (lambda x, part: x + part)
+        ask = lambda df, key, at, kind, level: df.select(key, "symbol", at.alias("_ref"), F.lit(kind).alias("_kind"), level.alias("_lv"))
+        entry, close = C("_entry"), C("close")
+        fixed = ask(mine, C("id"), C("_start"), "fixed", off(entry, entry * fixed_pct))
+        trail = ask(b, none, C("pos"), "anchor", off(close, close * trail_pct)).unionAll(ask(mine, C("id"), C("_start"), "trailing", off(entry, entry * trail_pct)))
+        by_close = trail.unionAll(fixed) if "trailing" in rules and "fixed" in rules else trail if "trailing" in rules else fixed
+        runs = [("trailing", by_close, close)] if {"trailing", "fixed"} & set(rules) else []
+        if has_atr:
+            by_atr = ask(b, none, C("pos"), "anchor", close).unionAll(ask(mine, C("id"), C("_start"), "atr", entry))
+            runs.append(("atr", by_atr, close + C("atr") * atr_multiplier if long else close - C("atr") * atr_multiplier))
+        for rule, searches, value in runs:
+            hit = durable(first_crossing(b, searches, ["symbol"], value, "_lv", "_ref", "_f", up=not long))
+            own = hit.where("_kind <> 'anchor'").select("id", "symbol", C("_kind").alias("rule"), "_ref", "_f")
+            if rule not in rules:
+                found.append(own.select("id", "symbol", "rule", C("_f").alias("pos")))
+                continue
+            moved = match(own, _best_since(hit.where("_kind = 'anchor'")).withColumnRenamed("pos", "_ref"), ["symbol", "_ref"])
+            found.append(moved.select("id", "symbol", "rule", F.when(C("rule") == rule, F.least("_f", "_g")).otherwise(C("_f")).alias("pos")))
+    every = p.where(F.lit("time" in rules)).select("id", "symbol", F.lit("time").alias("rule"), (C("_start") + (max_bars - 1)).alias("pos"))
+    for f in found:
+        every = every.unionByName(f)
+    out = match(every.where("pos is not null"), b.select("symbol", "pos", C("ts").alias("exit_ts"), C("close").alias("exit_price")), ["symbol", "pos"], "inner")
+    held = p.select("id", C("_start"), "horizon")
+    out = match(out, held, ["id"], "inner").where((C("exit_ts") <= C("horizon")) & (C("pos") >= C("_start")))
+    return out.select("id", "rule", "exit_ts", "exit_price")
+
+
+def first_exit(exits: DataFrame) -> DataFrame:
+    """(id, exit_ts, exit_price, rule): the earliest exit of :func:`stop_exits`; on one bar the first of fixed, trailing, atr and time."""
+    order = F.array_position(F.array(*[F.lit(r) for r in RULES]), C("rule"))
+    first = F.min_by(F.struct("exit_ts", "exit_price", "rule"), F.struct("exit_ts", order))
+    return exits.groupBy("id").agg(first.alias("_e")).select("id", "_e.*")
+
+
 def pre_trade(orders: DataFrame, max_order: float, max_position: float, max_total: float, max_loss: float) -> DataFrame:
     """Orders (qty, price, held_qty, total_value, daily_pnl) with ok and the first failing rule."""
     after = F.abs(C("held_qty") + F.when(C("side") == "buy", C("qty")).otherwise(-C("qty")))

@@ -72,22 +72,14 @@ def a11(spark, d):
     return f.withColumns({"keys": F.size("metadata"), "user": F.col("metadata")["user"]})
 
 
-NAMES = [f"Brand#{i}" for i in (1, 2, 3)]
-
-
-@query("a12_wide_to_panel", SPEC, BARS + ", result AS (SELECT * FROM bars WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#3'))")
-def a12(spark, d):
-    return panel(bars(spark, d).where(F.col("symbol").isin(NAMES)), NAMES)
-
-
 def panel(b, names):
     fields = ["open", "high", "low", "close", "volume"]
     wide = b.groupBy("ts").agg(*[F.max(F.when(F.col("symbol") == s, F.col(f))).alias(f"{f}_{s}") for s in names for f in fields])
     return S.wide_to_panel(wide, names, fields)
 
 
-@query("a12_wide_to_panel_all", SPEC, BARS + ", result AS (SELECT * FROM bars)")
-def a12b(spark, d):
+@query("a12_wide_to_panel", SPEC, BARS + ", result AS (SELECT * FROM bars)")
+def a12(spark, d):
     b = bars(spark, d)
     return panel(b, sorted(r[0] for r in b.select("symbol").distinct().collect()))
 

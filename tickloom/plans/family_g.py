@@ -105,24 +105,15 @@ for _n in G.ALPHAS:
     query(f"g09_{_n}", f"symbol ts! {_n}:{4 if _n in ('alpha002',) else 6}", BARS + ",\n" + SQL[_n] if _n in SQL else None)(_one(_n))
 
 
-@query("g10_wide_to_long", "ts! symbol value:8", BARS + """,
-m AS (SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS ts, max(close) AS value FROM bars WHERE symbol IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY 1, 2),
-g AS (SELECT * FROM (SELECT DISTINCT ts FROM m) CROSS JOIN (VALUES ('Brand#1'), ('Brand#2'), ('Brand#3')) AS s(symbol)),
-result AS (SELECT ts, symbol, value FROM g LEFT JOIN m USING (ts, symbol))""")
-def g10(spark, d):
-    names = ["Brand#1", "Brand#2", "Brand#3"]
-    return G.wide_to_long(monthly(bars(spark, d).where(F.col("symbol").isin(names)), names))
-
-
 def monthly(b, names):
     return b.groupBy(F.to_date(F.date_trunc("month", "ts")).alias("ts")).pivot("symbol", names).agg(F.max("close"))
 
 
-@query("g10_wide_to_long_all", "ts! symbol value:8", BARS + """,
+@query("g10_wide_to_long", "ts! symbol value:8", BARS + """,
 m AS (SELECT symbol, CAST(date_trunc('month', ts) AS DATE) AS ts, max(close) AS value FROM bars GROUP BY 1, 2),
 g AS (SELECT * FROM (SELECT DISTINCT ts FROM m) CROSS JOIN (SELECT DISTINCT symbol FROM m)),
 result AS (SELECT ts, symbol, value FROM g LEFT JOIN m USING (ts, symbol))""")
-def g10b(spark, d):
+def g10(spark, d):
     b = bars(spark, d)
     return G.wide_to_long(monthly(b, sorted(r[0] for r in b.select("symbol").distinct().collect())))
 

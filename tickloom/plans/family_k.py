@@ -47,7 +47,7 @@ def k02(spark, d):
 
 
 ORDERS = BARS + """,
-od AS (SELECT row_number() OVER (ORDER BY symbol, ts) AS rid, symbol || '/' || ts AS id, symbol, ts, close, CAST(volume AS BIGINT) AS v FROM bars WHERE volume % 5 = 0),
+od AS (SELECT row_number() OVER (ORDER BY symbol, ts) AS rid, symbol || '/' || ts AS id, symbol, ts, close, CAST(volume AS BIGINT) AS v FROM bars),
 orders_ AS (SELECT id, symbol, ts, CASE WHEN v % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
   CASE WHEN v % 3 = 0 THEN 'market' WHEN v % 3 = 1 THEN 'limit' ELSE 'stop' END AS kind,
   close * CASE WHEN v % 3 = 1 THEN CASE WHEN v % 2 = 0 THEN 0.2 ELSE 5 END ELSE CASE WHEN v % 2 = 0 THEN 5 ELSE 0.2 END END AS price FROM od)"""
@@ -64,19 +64,10 @@ result AS (SELECT id, any_value(symbol) AS symbol, min(ts) AS fill_ts, ln(arg_mi
 
 @query("k03_order_fills", "id symbol fill_ts! fill_price:8", ORDERS + FILLS)
 def k03(spark, d):
-    return fills(spark, d, "volume % 5 = 0")
-
-
-@query("k03_order_fills_all", "id symbol fill_ts! fill_price:8", ORDERS.replace(" WHERE volume % 5 = 0", "") + FILLS)
-def k03b(spark, d):
-    return fills(spark, d, "true")
-
-
-def fills(spark, d, wanted):
     b = bars(spark, d)
     v = F.col("volume").cast("long")
     buy = v % 2 == 0
-    o = b.where(wanted).select(
+    o = b.select(
         F.concat_ws("/", "symbol", F.col("ts").cast("string")).alias("id"), "symbol", "ts", F.when(buy, "buy").otherwise("sell").alias("side"),
         F.when(v % 3 == 0, "market").when(v % 3 == 1, "limit").otherwise("stop").alias("kind"),
         (F.col("close") * F.when(v % 3 == 1, F.when(buy, 0.2).otherwise(5.0)).otherwise(F.when(buy, 5.0).otherwise(0.2))).alias("price"))

@@ -87,7 +87,7 @@ def m07(spark, d):
 STOPS = BARS + f""",
 {TR}, atx AS (SELECT symbol, ts, {roll('avg(tr)', 14)} AS atr FROM t1),
 ps AS (SELECT symbol || '/' || ts AS id, symbol, ts AS entry_ts, close AS entry_price, CASE WHEN volume % 2 = 0 THEN 'long' ELSE 'short' END AS side,
-  CAST(ts + INTERVAL 90 DAY AS DATE) AS horizon FROM bars WHERE volume % 10 = 0),
+  CAST(ts + INTERVAL 90 DAY AS DATE) AS horizon FROM bars),
 pt AS (SELECT id, p.symbol, side, entry_price, b.ts, b.close, atr, max(b.close) OVER f AS hi, min(b.close) OVER f AS lo, row_number() OVER f AS held
   FROM ps p JOIN bars b ON p.symbol = b.symbol AND b.ts > entry_ts AND b.ts <= horizon JOIN atx a ON a.symbol = b.symbol AND a.ts = b.ts
   WINDOW f AS (PARTITION BY id ORDER BY b.ts)),
@@ -96,38 +96,24 @@ lv AS (SELECT *, entry_price - s * entry_price * 0.05 AS fs, best - s * best * 0
 ht AS (SELECT *, s * (close - fs) <= 0 AS hf, s * (close - trs) <= 0 AS htr, s * (close - ats) <= 0 AS ha, held >= 20 AS hti FROM lv)"""
 
 
-def levels(spark, d, wanted="volume % 10 = 0"):
-    b = I.atr(bars(spark, d)).select("symbol", "ts", "close", "volume", "atr")
-    b = durable(b)
-    p = b.where(wanted).select(
+def exits(spark, d, rules=R.RULES):
+    b = durable(I.atr(bars(spark, d)).select("symbol", "ts", "close", "volume", "atr"))
+    p = b.select(
         F.concat_ws("/", "symbol", F.col("ts").cast("string")).alias("id"), "symbol", F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price"),
         F.when(F.col("volume") % 2 == 0, "long").otherwise("short").alias("side"), F.date_add("ts", 90).alias("horizon"))
-    return R.stop_levels(R.stop_paths(p, b.drop("volume")))
+    return R.stop_exits(p, b.drop("volume"), rules=rules)
 
 
 for _rule, _flag, _n in (("fixed", "hf", "m08_fixed_stop"), ("trailing", "htr", "m09_trailing_stop"), ("atr", "ha", "m10_atr_stop"), ("time", "hti", "m11_time_stop")):
     query(_n, "id exit_ts! exit_price:8", STOPS + f", result AS (SELECT id, min(ts) AS exit_ts, arg_min(close, ts) AS exit_price FROM ht WHERE {_flag} GROUP BY id)")(
-        lambda spark, d, r=_rule: R.stop_exit(levels(spark, d), r))
+        lambda spark, d, r=_rule: exits(spark, d, [r]).drop("rule"))
 
 
 @query("m12_combined_stops", "id exit_ts! exit_price:8 rule", STOPS + """,
 r AS (SELECT *, CASE WHEN hf THEN 'fixed' WHEN htr THEN 'trailing' WHEN ha THEN 'atr' WHEN hti THEN 'time' END AS rule FROM ht),
 result AS (SELECT id, min(ts) AS exit_ts, arg_min(close, ts) AS exit_price, arg_min(rule, ts) AS rule FROM r WHERE rule IS NOT NULL GROUP BY id)""")
 def m12(spark, d):
-    return R.combined_exit(levels(spark, d))
-
-
-ALL_STOPS = STOPS.replace(" WHERE volume % 10 = 0", "")
-for _rule, _flag, _n in (("fixed", "hf", "m08_fixed_stop"), ("trailing", "htr", "m09_trailing_stop"), ("atr", "ha", "m10_atr_stop"), ("time", "hti", "m11_time_stop")):
-    query(f"{_n}_all", "id exit_ts! exit_price:8", ALL_STOPS + f", result AS (SELECT id, min(ts) AS exit_ts, arg_min(close, ts) AS exit_price FROM ht WHERE {_flag} GROUP BY id)")(
-        lambda spark, d, r=_rule: R.stop_exit(levels(spark, d, "true"), r))
-
-
-@query("m12_combined_stops_all", "id exit_ts! exit_price:8 rule", ALL_STOPS + """,
-r AS (SELECT *, CASE WHEN hf THEN 'fixed' WHEN htr THEN 'trailing' WHEN ha THEN 'atr' WHEN hti THEN 'time' END AS rule FROM ht),
-result AS (SELECT id, min(ts) AS exit_ts, arg_min(close, ts) AS exit_price, arg_min(rule, ts) AS rule FROM r WHERE rule IS NOT NULL GROUP BY id)""")
-def m12b(spark, d):
-    return R.combined_exit(levels(spark, d, "true"))
+    return R.first_exit(exits(spark, d))
 
 
 OD = """od AS (SELECT o_orderkey AS id, 'S' || (o_custkey % 10) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, 1 + o_custkey % 500 AS qty,

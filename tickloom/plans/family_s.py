@@ -1,6 +1,5 @@
 """Financial text."""
 
-from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
@@ -476,28 +475,15 @@ def s41(spark, d):
 CMP = TOKENS + """, lw AS (SELECT lang, length(w) % 4 AS topic, w AS word, count(*)::DOUBLE AS weight FROM (SELECT lang, unnest(t) AS w FROM tk) GROUP BY 1, 2, 3)"""
 
 
-@query("s42_topic_similarity", "a# b# similarity:8", CMP + """, a AS (SELECT * FROM lw WHERE lang = 'en'), b AS (SELECT * FROM lw WHERE lang = 'fr'),
-qa AS (SELECT topic AS a, sum(weight * weight) AS q FROM a GROUP BY topic), qb AS (SELECT topic AS b, sum(weight * weight) AS q FROM b GROUP BY topic),
-dt AS (SELECT a.topic AS a, b.topic AS b, sum(a.weight * b.weight) AS dot FROM a JOIN b USING (word) GROUP BY 1, 2),
-result AS (SELECT qa.a, qb.b, coalesce(dot, 0) / sqrt(qa.q * qb.q) AS similarity FROM qa CROSS JOIN qb LEFT JOIN dt ON dt.a = qa.a AND dt.b = qb.b)""")
-def s42(spark, d):
-    w = docs(spark, d).select("lang", F.explode(D.tokens("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").cast("double").alias("weight"))
-    w = durable(w.withColumn("topic", F.length("word") % 4))
-    return P.compare_topics(w.where("lang = 'en'"), w.where("lang = 'fr'"))
-
-
-@query("s42_topic_similarity_all", "lang_a lang_b a# b# similarity:8", CMP + """,
+@query("s42_topic_similarity", "lang_a lang_b a# b# similarity:8", CMP + """,
 q AS (SELECT lang, topic, sum(weight * weight) AS q FROM lw GROUP BY ALL),
 dt AS (SELECT a.lang AS lang_a, b.lang AS lang_b, a.topic AS a, b.topic AS b, sum(a.weight * b.weight) AS dot FROM lw a JOIN lw b ON a.word = b.word AND a.lang < b.lang GROUP BY ALL),
 result AS (SELECT x.lang AS lang_a, y.lang AS lang_b, x.topic AS a, y.topic AS b, coalesce(dot, 0) / sqrt(x.q * y.q) AS similarity FROM q x JOIN q y ON x.lang < y.lang
   LEFT JOIN dt ON dt.lang_a = x.lang AND dt.lang_b = y.lang AND dt.a = x.topic AND dt.b = y.topic)""")
-def s42b(spark, d):
+def s42(spark, d):
     w = docs(spark, d).select("lang", F.explode(D.tokens("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").cast("double").alias("weight"))
     w = durable(w.withColumn("topic", F.length("word") % 4))
-    langs = sorted(r[0] for r in w.select("lang").where("lang is not null").distinct().collect())
-    pairs = [P.compare_topics(w.where(F.col("lang") == x), w.where(F.col("lang") == y)).withColumns({"lang_a": F.lit(x), "lang_b": F.lit(y)})
-             for i, x in enumerate(langs) for y in langs[i + 1:]]
-    return reduce(lambda p, q: p.unionByName(q), pairs)
+    return P.compare_topic_sets(w.where("lang is not null"), "lang")
 
 
 @query("s43_topic_evolution", "source topic_0:8 topic_1:8 topic_2:8 topic_3:8", TOPIC + ", result AS (SELECT source, " + ", ".join(

@@ -127,6 +127,20 @@ def compare_topics(a: DataFrame, b: DataFrame, method: str = "cosine") -> DataFr
     return d.select("a", "b", sim.alias("similarity"))
 
 
+def compare_topic_sets(weights: DataFrame, model: str) -> DataFrame:
+    """Cosine similarity of every topic pair of every two models, from (``model``, topic, word, weight); words are joined once for all of them.
+
+    One model or none gives an empty result.
+    """
+    norm = weights.groupBy(model, "topic").agg(F.sum(C("weight") * C("weight")).alias("_q"))
+    side = lambda t, n, extra: t.select(C(model).alias(f"{model}_{n}"), C("topic").alias(n), *[C(c).alias(f"{c}_{n}") for c in extra])
+    pairs = side(norm, "a", ["_q"]).join(side(norm, "b", ["_q"]), C(f"{model}_a") < C(f"{model}_b"))  # topics of all models, by themselves
+    w = side(weights, "a", ["word", "weight"]).withColumnRenamed("word_a", "word").join(side(weights, "b", ["word", "weight"]).withColumnRenamed("word_b", "word"), "word")
+    dot = w.where(C(f"{model}_a") < C(f"{model}_b")).groupBy(f"{model}_a", f"{model}_b", "a", "b").agg(F.sum(C("weight_a") * C("weight_b")).alias("_dot"))
+    d = pairs.join(dot, [f"{model}_a", f"{model}_b", "a", "b"], "left").fillna(0.0, ["_dot"])
+    return d.select(f"{model}_a", f"{model}_b", "a", "b", (C("_dot") / F.sqrt(C("_q_a") * C("_q_b"))).alias("similarity"))
+
+
 def evolution(weights: DataFrame, by: str, topics: Sequence[int]) -> DataFrame:
     """Mean weight per period and topic, one column per topic."""
     p = weights.groupBy(by).pivot("topic", list(topics)).agg(F.avg("weight"))
