@@ -255,10 +255,12 @@ def spread(
     rows: int | None = None,
 ) -> Series:
     """Cut each series of ``df`` into slices; ``bin`` is a date_trunc unit of the first order
-    column or any column that never decreases along the order. Bins of more rows than a slice are cut again."""
+    column or any column that never decreases along the order. Bins of more rows than a slice are cut again.
+    A series ordered by a date alone has one row a day and is spared the count: a month of it is small by definition."""
     rows = max(rows or ROWS_PER_SLICE, back, ahead, 1)
     b = time_bin(bin, order[0]) if isinstance(bin, str) else bin
-    df, counts = fitted(df.withColumn("_bin", b), keys, order, rows)
+    daily = isinstance(bin, str) and len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.DateType)
+    df, counts = (df.withColumn("_bin", b), None) if daily else fitted(df.withColumn("_bin", b), keys, order, rows)
     m = bin_map(df, keys, rows, back, ahead, counts)
     return Series(_place(df, m, keys), keys, order, m, bool(back or ahead))
 

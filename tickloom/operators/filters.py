@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.folds import fold_sorted
+from ..core.gaussian import random_walk_regression
 from ..core.ranking import quantiles
 from ..core.slices import affine, decay_rows, decayed_sums, over_rows, spread
 from ..session import durable
@@ -61,26 +62,12 @@ def kalman_crossover(df: DataFrame, value: str, fast: float = 1e-4, slow: float
 
 
 def dynamic_hedge(pairs: DataFrame, delta: float = 1e-5, r: float = 1e-3) -> DataFrame:
-    """Two-state (slope, intercept) filter of y on x; the covariance depends on the data, so each pair is
-    a streamed fold (constant state per pair, parallel over pairs)."""
-    def make():
-        state = {"b": np.zeros(2), "p": np.eye(2)}
-        q = delta / (1 - delta) * np.eye(2)
-
-        def step(row):
-            h = np.array([row.x, 1.0])
-            p = state["p"] + q
-            e = row.y - h @ state["b"]
-            s = h @ p @ h + r
-            k = p @ h / s
-            state["b"] = state["b"] + k * e
-            state["p"] = p - np.outer(k, h @ p)
-            return (row.pair, row.ts, float(state["b"][0]), float(state["b"][1]), float(e))
+    """Two-state (slope, intercept) filter of y on x per pair: (pair, ts, hedge, intercept, error).
 
-        return step
-
-    d = pairs.select("pair", "ts", "y", "x")
-    return fold_sorted(d, ["pair"], ["ts"], make, f"pair string, ts {d.schema['ts'].dataType.simpleString()}, hedge double, intercept double, error double")
+    The covariance depends on the data; both it and the states are one associative scan, so a long pair is spread over
+    many tasks. A row with a null price keeps the states and has a null error.
+    """
+    return random_walk_regression(pairs, ["pair"], ["ts"], "y", ["x"], delta / (1 - delta), r, ["hedge", "intercept"], "error")
 
 
 def adaptive_kalman(df: DataFrame, value: str, q: float = 1e-5, r: float = 1e-2, window: int = 20) -> DataFrame:
