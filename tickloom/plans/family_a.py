@@ -48,9 +48,29 @@ def a06(spark, d):
     return S.infer_frequency(bars(spark, d))
 
 
-CAT = BARS + ", result AS (SELECT symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, 'lineitem' AS source, '1d' AS frequency FROM bars GROUP BY symbol)"
-for _n in ("a04_save_metadata", "a07_catalog"):
-    query(_n, "symbol rows# first_ts! last_ts! source frequency", CAT)(lambda spark, d: S.catalog(bars(spark, d), "lineitem"))
+CAT = BARS + ", result AS (SELECT symbol, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, 'lineitem' AS source, '1d' AS frequency, true AS updated FROM bars GROUP BY symbol)"
+
+
+@query("a04_save_metadata", "symbol rows# first_ts! last_ts! source frequency updated", CAT)
+def a04(spark, d):
+    """Saved twice: the second batch holds some symbols again, whose entries are replaced."""
+    store = S.BarStore(spark, scratch_folder(spark, "bars"))
+    store.save_described(bars(spark, d), "lineitem")
+    store.save_described(bars(spark, d).where("symbol like 'Brand#1%'"), "lineitem")
+    return store.described().withColumn("updated", F.col("last_updated").isNotNull())
+
+
+@query("a06_ohlcv_load", "symbol ts! open:8 high:8 low:8 close:8 volume:2 gap_days#", BARS + """, l AS (SELECT * FROM bars WHERE ts >= DATE '1994-01-01' AND ts <= DATE '1996-12-31'),
+g AS (SELECT symbol, datediff('day', lag(ts) OVER (PARTITION BY symbol ORDER BY ts), ts) AS gap FROM l),
+n AS (SELECT symbol, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1, 2), f AS (SELECT symbol, arg_max(gap, n * 100000 - gap) AS gap_days FROM n GROUP BY symbol),
+result AS (SELECT l.*, gap_days FROM l LEFT JOIN f USING (symbol))""")
+def a06b(spark, d):
+    store = S.BarStore(spark, scratch_folder(spark, "bars"))
+    store.save(bars(spark, d).withColumn("interval", F.lit("1d")))
+    return store.load_regular(start="1994-01-01", end="1996-12-31")
+
+
+query("a07_catalog", "symbol rows# first_ts! last_ts! source frequency updated", CAT)(lambda spark, d: S.catalog(bars(spark, d), "lineitem").withColumn("updated", F.lit(True)))
 
 
 def log(spark, d):
@@ -72,6 +92,24 @@ def a11(spark, d):
     return f.withColumns({"keys": F.size("metadata"), "user": F.col("metadata")["user"]})
 
 
+LOGGED = "symbol ts@ side qty:2 price:2 strategy metadata_user metadata_seq"
+LOG_SQL = TRADES + """, result AS (SELECT symbol, ts, side, qty, price, strategy, CAST(user_id AS VARCHAR) AS metadata_user, CASE WHEN user_id % 2 = 0 THEN CAST(seq AS VARCHAR) END AS metadata_seq FROM tr)"""
+
+
+@query("a10_log_csv_files", LOGGED, LOG_SQL)
+def a10b(spark, d):
+    path = scratch_folder(spark, "log-csv")
+    LG.write_csv(log(spark, d), path, ["user", "seq"])
+    return LG.metadata_columns(LG.read_csv(spark, path), ["user", "seq"])
+
+
+@query("a11_log_json_files", LOGGED, LOG_SQL)
+def a11b(spark, d):
+    path = scratch_folder(spark, "log-json")
+    LG.write_json(log(spark, d), path)
+    return LG.metadata_columns(LG.read_json(spark, path), ["user", "seq"])
+
+
 def panel(b, names):
     fields = ["open", "high", "low", "close", "volume"]
     wide = b.groupBy("ts").agg(*[F.max(F.when(F.col("symbol") == s, F.col(f))).alias(f"{f}_{s}") for s in names for f in fields])

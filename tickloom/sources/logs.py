@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELDS = ["ts", "symbol", "side", "qty", "price", "commission", "slippage", "strategy"]
+MOMENT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  #: keeps microseconds and the zone
 SCHEMA = ("ts timestamp, symbol string, side string, qty double, price double, commission double, slippage double, strategy string, metadata map<string,string>")
 
 
@@ -32,18 +33,19 @@ def first_keys(log: DataFrame) -> list[str]:
 
 
 def write_csv(log: DataFrame, path: str, keys: Sequence[str] | None = None) -> None:
-    metadata_columns(log, first_keys(log) if keys is None else keys).write.mode("overwrite").csv(path, header=True)
+    metadata_columns(log, first_keys(log) if keys is None else keys).write.mode("overwrite").csv(path, header=True, timestampFormat=MOMENT, escape='"', emptyValue='""')
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.csv(path, header=True)
+    """Rows of a CSV log; missing metadata stays out of the map, and text may hold quotes and line ends."""
+    d = spark.read.csv(path, header=True, multiLine=True, escape='"')
     types = dict(f.strip().split(" ") for f in SCHEMA.split(", ")[:8])
     return fold_metadata(d.withColumns({c: F.col(c).cast(types[c]) for c in FIELDS}))
 
 
 def write_json(log: DataFrame, path: str) -> None:
-    log.select(*FIELDS, "metadata").write.mode("overwrite").json(path)
+    log.select(*FIELDS, "metadata").write.mode("overwrite").json(path, timestampFormat=MOMENT)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMA).json(path)
+    return spark.read.schema(SCHEMA).json(path, timestampFormat=MOMENT)

@@ -102,6 +102,29 @@ class BarStore:
     def symbols(self) -> DataFrame:
         return self.load().select("symbol").distinct()
 
+    def save_described(self, bars: DataFrame, source: str = "unknown", frequency: str = "1d") -> None:
+        """Save ``bars`` and, beside them, what :meth:`described` lists of every symbol saved; other symbols keep their rows and entries."""
+        from ..session import durable
+        self._write(bars.withColumn("interval", F.lit(frequency)))
+        saved = self.load(interval=frequency).join(bars.select("symbol").distinct(), "symbol", "left_semi")
+        fresh = catalog(saved, source, frequency).withColumn("last_updated", F.current_timestamp())
+        if BarStore(self.spark, self._entries).exists():
+            fresh = upsert(self.described(), fresh, ("symbol", "frequency"))
+        durable(fresh).write.mode("overwrite").parquet(self._entries)
+
+    @property
+    def _entries(self) -> str:
+        return self.path.rstrip("/") + "-described"
+
+    def described(self) -> DataFrame:
+        """symbol, rows, first_ts, last_ts, source, frequency and last_updated of what was saved."""
+        return self.spark.read.parquet(self._entries).select("symbol", "rows", "first_ts", "last_ts", "source", "frequency", "last_updated")
+
+    def load_regular(self, symbol: str | None = None, start: str | None = None, end: str | None = None, interval: str | None = None) -> DataFrame:
+        """Bars of the range with ``gap_days``, the symbol's most common gap within it (null for a single bar)."""
+        d = self.load(symbol, start, end, interval)
+        return d.join(infer_frequency(d), "symbol", "left")
+
     def metadata(self, source: str = "unknown", frequency: str = "1d") -> DataFrame:
         return catalog(self.load(), source, frequency)
 
