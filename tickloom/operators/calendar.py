@@ -33,16 +33,16 @@ def trading_days(spark: SparkSession, start: str, end: str) -> DataFrame:
     return days.where(is_trading_day(C("day")))
 
 
-def next_sessions(df: DataFrame, ts: str = "ts", within: int = 10) -> DataFrame:
+def next_sessions(df: DataFrame, ts: str = "ts", within: int = 10, extended: bool = False) -> DataFrame:
     """Next open and next close (UTC) after each time and the seconds until then.
 
-    The first trading day is looked for among the next ``within`` days.
+    The first trading day is looked for among the next ``within`` days. ``extended`` sessions last from 4:00 to 20:00.
     """
     local = F.from_utc_timestamp(C(ts), ZONE)
     days = F.filter(F.sequence(F.to_date(local), F.date_add(F.to_date(local), within)), lambda d: is_trading_day(d))
     at = lambda h, m: F.transform(days, lambda d: F.to_utc_timestamp(d.cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(h), F.lit(m)), ZONE))
     first = lambda times: F.try_element_at(F.filter(times, lambda t: t > C(ts)), F.lit(1))
-    d = df.withColumns({"next_open": first(at(9, 30)), "next_close": first(at(16, 0))})
+    d = df.withColumns({"next_open": first(at(4, 0) if extended else at(9, 30)), "next_close": first(at(20, 0) if extended else at(16, 0))})
     until = lambda c: F.unix_timestamp(c) - F.unix_timestamp(C(ts))
     return d.withColumns({"until_open": until("next_open"), "until_close": until("next_close")})
 

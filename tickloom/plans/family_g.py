@@ -24,7 +24,9 @@ def ts_rank_sql(src: str, x: str, n: int, out: str) -> str:
   FROM (SELECT *, list({x}) FILTER ({x} IS NOT NULL) OVER ({W} ROWS {n - 1} PRECEDING) AS l FROM {src})"""
 
 
-@query("g01_rank", "symbol ts! r:8", BARS + f", result AS ({rank_sql('bars', 'volume', 'r')})")
+@query("g01_rank", "symbol ts! r:8", BARS + """, b AS MATERIALIZED (SELECT symbol, ts, volume FROM bars), n AS MATERIALIZED (SELECT ts, volume, count(*) AS n FROM b WHERE volume IS NOT NULL GROUP BY 1, 2),
+k AS MATERIALIZED (SELECT ts, volume, (sum(n) OVER (PARTITION BY ts ORDER BY volume) - (n - 1) / 2.0) / sum(n) OVER (PARTITION BY ts) AS r FROM n),
+result AS (SELECT symbol, b.ts, r FROM b LEFT JOIN k ON b.ts = k.ts AND b.volume = k.volume)""")
 def g01(spark, d):
     return G.rank(bars(spark, d), "volume", "r")
 

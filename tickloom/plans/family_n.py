@@ -31,14 +31,22 @@ def n02(spark, d):
     return days.join(n, "day", "left").fillna(0, ["events"])
 
 
-@query("n03_next_sessions", "seq# next_open@ next_close@", DAYS + """,
+NEXT = DAYS + """,
 o AS (SELECT timezone('UTC', timezone('America/New_York', day + TIME '09:30')) AS o, timezone('UTC', timezone('America/New_York', day + TIME '16:00')) AS c FROM cal),
 a AS (SELECT seq, o AS next_open FROM ev ASOF LEFT JOIN o ON ev.ts < o.o), b AS (SELECT seq, c AS next_close FROM ev ASOF LEFT JOIN o ON ev.ts < o.c),
-result AS (SELECT * FROM a JOIN b USING (seq))""")
+result AS (SELECT * FROM a JOIN b USING (seq))"""
+
+
+@query("n03_next_sessions", "seq# next_open@ next_close@", NEXT)
 def n03(spark, d):
     return K.next_sessions(events(spark, d))
 
 
+@query("n03_next_extended", "seq# next_open@ next_close@", NEXT.replace("TIME '09:30'", "TIME '04:00'").replace("TIME '16:00'", "TIME '20:00'"))
+def n03b(spark, d):
+    return K.next_sessions(events(spark, d), extended=True)
+
+
 @query("n04_session_schedule", "day! trading open@ close@", LOCAL + """, dd AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM ev),
 result AS (SELECT day, isodow(day) < 6 AND day NOT IN (SELECT h FROM hol) AS trading, timezone('UTC', timezone('America/New_York', day + TIME '09:30')) AS open,
   timezone('UTC', timezone('America/New_York', day + TIME '16:00')) AS close FROM dd)""")

@@ -493,6 +493,20 @@ def s43(spark, d):
     return P.evolution(w, "source", [0, 1, 2, 3])
 
 
+@query("s43_rolling_evolution", "period# topic_0:8 topic_1:8 topic_2:8 topic_3:8", TOPIC + ", e AS (SELECT doc_id // 50 AS period, " + ", ".join(
+    f"avg(CASE WHEN topic = {i} THEN weight END) AS topic_{i}" for i in range(4)) + " FROM tw GROUP BY 1), result AS (SELECT period, " + ", ".join(
+    f"avg(topic_{i}) OVER (ORDER BY period ROWS 2 PRECEDING) AS topic_{i}" for i in range(4)) + " FROM e)")
+def s43b(spark, d):
+    w = topic_weights(spark, d).withColumn("period", F.floor(F.col("doc_id") / 50))
+    return P.rolling_evolution(w, "period", [0, 1, 2, 3])
+
+
+@query("s43_document_topics", "doc_id# topic_0:8 topic_1:8 topic_2:8 topic_3:8", TOPIC + ", result AS (SELECT doc_id, " + ", ".join(
+    f"sum(CASE WHEN topic = {i} THEN weight END) AS topic_{i}" for i in range(4)) + " FROM tw GROUP BY doc_id)")
+def s43c(spark, d):
+    return P.topic_frame(topic_weights(spark, d), "doc_id", [0, 1, 2, 3])
+
+
 @query("s31_vector_file", "word first:6 size#", VEC + """, result AS (SELECT word, vector[1] AS first, len(vector) AS size FROM vec)""")
 def s31(spark, d):
     from ..session import scratch_folder

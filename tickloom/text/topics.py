@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core.slices import spread
+from ..core.slices import over_rows, spread
 from ..session import durable
 from .documents import tokens
 
@@ -145,3 +145,15 @@ def evolution(weights: DataFrame, by: str, topics: Sequence[int]) -> DataFrame:
     """Mean weight per period and topic, one column per topic."""
     p = weights.groupBy(by).pivot("topic", list(topics)).agg(F.avg("weight"))
     return p.select(by, *[C(str(t)).alias(f"topic_{t}") for t in topics])
+
+
+def rolling_evolution(weights: DataFrame, by: str, topics: Sequence[int], window: int = 3) -> DataFrame:
+    """:func:`evolution` with each topic's mean over the last ``window`` periods (fewer at the start); a period without the topic adds nothing."""
+    d = evolution(weights, by, topics).withColumn("_k", F.lit(0))  # one row a period
+    mean = lambda x, w: x.withColumns({f"topic_{t}": F.avg(f"topic_{t}").over(w.rowsBetween(1 - window, 0)) for t in topics})
+    return over_rows(d, mean, back=window - 1, keys=["_k"], order=[by], bin=F.lit(0).cast("long")).drop("_k")
+
+
+def topic_frame(weights: DataFrame, key: str, topics: Sequence[int]) -> DataFrame:
+    """One row per document with a column for each topic, 0 where the document has none of it."""
+    return weights.groupBy(key).agg(*[F.coalesce(F.sum(F.when(C("topic") == t, C("weight"))), F.lit(0.0)).alias(f"topic_{t}") for t in topics])
