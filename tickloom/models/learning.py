@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import product
 
-import numpy as np
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core.pairs import pair_moments
 from ..core.regress import ols
 from ..core.slices import over_rows, spread
+from ..core.subspace import leading
 from ..session import durable
 from .evaluation import classification_metrics, regression_metrics, time_folds
 
@@ -90,34 +91,45 @@ def model_catalog(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema("path string, metadata map<string,string>").json(f"{root}/*/metadata_table")
 
 
-def complete_rows(returns: DataFrame, value: str = "ret", order: str = "ts"):
-    """(vectors per date that have every asset, asset names). The asset list is as long as a vector."""
-    names = [r[0] for r in returns.select("symbol").distinct().orderBy("symbol").collect()]
-    g = returns.groupBy(order).agg(F.map_from_entries(F.collect_list(F.struct("symbol", value))).alias("_m"))
-    g = g.where(F.size("_m") == len(names)).select(order, F.array(*[F.element_at("_m", n) for n in names]).alias("x"))
-    return g, names
+def complete_dates(returns: DataFrame, value: str = "ret", order: str = "ts") -> DataFrame:
+    """Rows of the dates on which every asset has a value."""
+    d = returns.where(C(value).isNotNull() & C(order).isNotNull())
+    size = d.agg(F.count_distinct("symbol").alias("_size"))
+    full = d.groupBy(order).agg(F.count_distinct("symbol").alias("_size")).join(size, "_size").select(order)
+    return d.join(full, order, "left_semi")
 
 
-def market_pca(returns: DataFrame, k: int, value: str = "ret", order: str = "ts"):
-    """Centred components of complete dates: (scores, loadings, variance ratios, names).
+def pair_covariance(moments: DataFrame) -> DataFrame:
+    """Moments with the sample covariance ``cov`` over the dates of each pair, null for a single date."""
+    n = C("n")
+    return moments.withColumn("cov", F.when(n > 1, (C("sxy") - C("sx") * C("sy") / n) / (n - 1)))
 
-    Signs follow the largest loading, so that runs agree.
+
+def with_loadings(df: DataFrame, loadings: DataFrame) -> DataFrame:
+    """Rows with the loadings of their asset as one array ``_load``."""
+    own = loadings.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("component", "loading"))), lambda e: e["loading"]).alias("_load"))
+    return df.join(own, "symbol")
+
+
+def market_pca(returns: DataFrame, k: int, value: str = "ret", order: str = "ts", complete: bool = False):
+    """Centred components: (scores, loadings, variance ratios, means).
+
+    Covariances come from the blocked pair moments, eigenvectors from block subspace iteration. Gaps
+    stay gaps: a pair is measured on the dates both assets have, and an asset without a value adds
+    nothing to a date's scores. With ``complete`` only dates that every asset has are read. Signs follow the
+    largest loading, so that runs agree.
     """
-    d, names = complete_rows(returns, value, order)
-    d = durable(d.select(order, array_to_vector("x").alias("raw")))
-    sm = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=False).fit(d)
-    c = sm.transform(d)
-    m = PCA(k=k, inputCol="features", outputCol="pc").fit(c)
-    load = m.pc.toArray()
-    sign = np.sign(load[np.abs(load).argmax(axis=0), range(k)])
-    load = load * sign
-    spark = returns.sparkSession
-    flip = F.array(*[F.lit(float(s)) for s in sign])
-    scores = m.transform(c).select(order, F.zip_with(vector_to_array("pc"), flip, lambda a, b: a * b).alias("scores"))
-    loadings = spark.createDataFrame([(n, i, float(load[a][i])) for a, n in enumerate(names) for i in range(k)], "symbol string, component int, loading double")
-    ratios = spark.createDataFrame([(i, float(v)) for i, v in enumerate(m.explainedVariance.toArray())], "component int, ratio double")
-    means = spark.createDataFrame([(n, float(v)) for n, v in zip(names, sm.mean.toArray())], "symbol string, mean double")
-    return scores, loadings, ratios, means
+    d = complete_dates(returns, value, order) if complete else returns.where(C(value).isNotNull() & C(order).isNotNull())
+    d = d.select("symbol", C(order).alias("ts"), C(value).cast("double").alias("_v"))
+    cov = durable(pair_covariance(pair_moments(d, "_v")))
+    means = cov.where("a = b").select(C("a").alias("symbol"), (C("sx") / C("n")).alias("mean"))
+    loadings = leading(cov, k)
+    total = cov.where("a = b").agg(F.sum("cov").alias("_total"))  # one row
+    ratios = loadings.groupBy("component").agg(F.max("value").alias("value")).join(F.broadcast(total)).select("component", (C("value") / C("_total")).alias("ratio"), "value")
+    centred = with_loadings(d.join(means, "symbol").withColumn("_c", C("_v") - C("mean")), loadings)
+    sums = F.array(*[F.sum(C("_c") * F.get("_load", F.lit(i))) for i in range(k)])
+    scores = centred.groupBy(C("ts").alias(order)).agg(sums.alias("scores")).withColumn("scores", F.filter("scores", lambda x: x.isNotNull()))
+    return scores, loadings.select("symbol", "component", "loading"), ratios, means
 
 
 def variance_table(ratios: DataFrame) -> DataFrame:
@@ -134,7 +146,12 @@ def eigenportfolios(loadings: DataFrame) -> DataFrame:
     return loadings.join(t, "component").select("component", "symbol", (F.abs("loading") / C("_t")).alias("w"))
 
 
-def reconstruct(scores: DataFrame, loadings: DataFrame, means: DataFrame, k: int, order: str = "ts") -> DataFrame:
+def reconstruct(scores: DataFrame, loadings: DataFrame, means: DataFrame, k: int, order: str = "ts", panel: DataFrame | None = None) -> DataFrame:
+    """Values from the first k components: for the rows of ``panel``, or without one for every asset on every date."""
+    if panel is not None:
+        j = with_loadings(panel.select("symbol", order).join(scores, order), loadings.where(C("component") < k)).join(means, "symbol")
+        part = F.aggregate(F.zip_with(F.slice("scores", 1, F.size("_load")), "_load", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        return j.select(order, "symbol", (part + C("mean")).alias("value"))
     s = scores.select(order, F.posexplode("scores").alias("component", "s")).where(C("component") < k)
     d = s.join(loadings, "component").groupBy(order, "symbol").agg(F.sum(C("s") * C("loading")).alias("_v"))
     return d.join(means, "symbol").select(order, "symbol", (C("_v") + C("mean")).alias("value"))
@@ -172,48 +189,44 @@ def factor_timing(factors: DataFrame, factor: str = "f1", n: int = 21, order: st
     return over_rows(d, f, back=n, keys=["_k"], order=[order], bin=bin).drop("_k")
 
 
-def rolling_exposure(returns: DataFrame, window: int = 252, value: str = "ret") -> DataFrame:
-    """First-component loadings over the trailing window of dates at each month end.
+def rolling_exposure(returns: DataFrame, months: int = 12, k: int = 3, value: str = "ret") -> DataFrame:
+    """Loadings and variance ratios of k components over the trailing ``months`` months at each month end.
 
-    A date's row goes to the month ends whose window holds it; each window is one small group. The
-    sign follows the largest loading.
+    Pair moments are taken once per month; a month's moments go to the windows that hold it and are summed
+    there, so no window reads its dates again. Windows start once the panel has that many months. On
+    a window without gaps the loadings are the regression coefficients of the assets on the component scores.
+    The sign follows the largest loading.
     """
-    import pandas as pd
-    d, names = complete_rows(returns, value)
-    d = durable(d.withColumn("_k", F.lit(0)))
-    d = durable(spread(d, keys=["_k"]).position("_pos").done())
-    ends = d.groupBy(F.date_trunc("month", "ts").alias("month")).agg(F.max("_pos").alias("_end"), F.max("ts").alias("window_end")).where(C("_end") >= window - 1)
-    # a few rows per year; each row of d meets the ends within the next ``window`` rows only
-    bucket = lambda c: F.floor(C(c) / window)
-    e = ends.withColumn("_b", F.explode(F.array(bucket("_end"), bucket("_end") - 1)))
-    j = d.withColumn("_b", bucket("_pos")).join(e, "_b").where((C("_pos") <= C("_end")) & (C("_pos") > C("_end") - window))
-
-    def pca(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["x"].tolist(), float)
-        x = x - x.mean(axis=0)
-        _, s, vt = np.linalg.svd(x, full_matrices=False)
-        v = vt[0] * np.sign(vt[0][np.abs(vt[0]).argmax()])
-        return pd.DataFrame({"window_end": pdf["window_end"].iat[0], "symbol": names, "loading": v, "ratio": float(s[0] ** 2 / (s ** 2).sum())})
-
-    kind = j.schema["window_end"].dataType.simpleString()
-    return j.groupBy("window_end").applyInPandas(pca, f"window_end {kind}, symbol string, loading double, ratio double")
+    d = returns.where(C(value).isNotNull() & C("ts").isNotNull()).select("symbol", "ts", C(value).cast("double").alias("_v"))
+    number = lambda t: F.year(t) * 12 + F.month(t)
+    m = pair_moments(d, "_v", chunk="month", per_chunk=True).withColumn("_m", number(F.to_date("chunk")))
+    ends = d.groupBy(number(C("ts")).alias("_w")).agg(F.max("ts").alias("window_end"))
+    first = ends.agg((F.min("_w") + (months - 1)).alias("_first"))  # one row
+    ends = ends.join(F.broadcast(first)).where(C("_w") >= C("_first")).select("_w", "window_end")
+    spread_out = m.withColumn("_w", F.explode(F.sequence(C("_m"), C("_m") + (months - 1)))).join(ends, "_w")
+    sums = spread_out.groupBy("window_end", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+    cov = durable(pair_covariance(sums))
+    total = cov.where("a = b").groupBy("window_end").agg(F.sum("cov").alias("_total"))
+    out = leading(cov, k, ["window_end"]).join(total, "window_end")
+    return out.select("window_end", "component", "symbol", "loading", (C("value") / C("_total")).alias("ratio"))
 
 
 def asset_vectors(returns: DataFrame, value: str = "ret", dims: int | None = None) -> DataFrame:
     """One vector per asset: its return on every date of the panel, 0 where it has none.
 
-    With ``dims`` the mean return in each of so many hashed date groups instead, for models that need far
-    fewer dimensions than assets.
+    With ``dims`` the coordinates of these vectors on their first so many singular directions instead, for
+    models that need far fewer dimensions than assets. They come from the inner products of the assets,
+    so no vector is built; dimensions beyond the number of assets are 0.
     """
+    day = returns.where(C("ts").isNotNull()).groupBy("symbol", "ts").agg(F.avg(value).alias("_v")).where("_v is not null")
     if dims is None:
-        day = returns.where(C("ts").isNotNull()).groupBy("symbol", "ts").agg(F.avg(value).alias("_v")).where("_v is not null")
         own = day.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("ts", "_v"))).alias("_m"))
         dates = day.agg(F.array_sort(F.collect_set("ts")).alias("_d"))  # one row, as long as a vector
         x = F.transform("_d", lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(0.0)))
         return own.join(F.broadcast(dates)).select("symbol", array_to_vector(x).alias("features"))
-    slot = F.pmod(F.xxhash64("ts"), F.lit(dims)).cast("int")
-    g = returns.groupBy("symbol").agg(*[F.coalesce(F.avg(F.when(slot == i, C(value))), F.lit(0.0)).alias(f"v{i}") for i in range(dims)])
-    return g.select("symbol", array_to_vector(F.array(*[C(f"v{i}") for i in range(dims)])).alias("features"))
+    v = leading(pair_moments(durable(day), "_v"), dims, value="sxy")
+    at = lambda i: F.coalesce(F.sum(F.when(C("component") == i, C("loading") * F.sqrt(F.greatest("value", F.lit(0.0))))), F.lit(0.0))
+    return v.groupBy("symbol").agg(array_to_vector(F.array(*[at(i) for i in range(dims)])).alias("features"))
 
 
 def cluster(vectors: DataFrame, k: int, method: str = "kmeans") -> DataFrame:

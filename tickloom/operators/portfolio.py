@@ -12,7 +12,7 @@ from ..core.pairs import pair_moments
 C = F.col
 
 
-def covariance(returns: DataFrame, value: str = "ret", blocks: int = 4) -> DataFrame:
+def covariance(returns: DataFrame, value: str = "ret", blocks: int | None = None) -> DataFrame:
     """Sample covariance and correlation of every pair (a <= b) over common dates, with means."""
     m = pair_moments(returns, value, blocks)
     n = C("n")

@@ -96,52 +96,71 @@ def r09(spark, d):
     return V.blend_predictions(b, {"a": 1.0, "b": 1.0, "c": 1.0})
 
 
-def monthly(spark, d):
-    """Mean log return per brand and month: a panel with few gaps."""
-    r = log_returns(spark, d)
-    return durable(r.groupBy("symbol", F.to_date(F.date_trunc("month", "ts")).alias("ts")).agg(F.avg("ret").alias("ret")))
+def daily(spark, d):
+    """Log returns of every brand on every day it trades."""
+    return durable(log_returns(spark, d))
 
 
 @query("r10_market_pca", "component# ratio:6 cumulative:6 needed_95")
 def r10(spark, d):
-    return M.variance_table(M.market_pca(monthly(spark, d), 5)[2])
+    return M.variance_table(M.market_pca(daily(spark, d), 5)[2])
+
+
+SIZE = 25  # brands of the tables: with as many components the whole matrix is decomposed
+
+
+@query("r10_pca_identities", "components# total:8 squares:8 negative", LR + """,
+t AS (SELECT count(*) AS components, sum(cov) AS total FROM cv WHERE a = b),
+result AS (SELECT components, total, (SELECT sum(cov * cov) FROM cv) AS squares, false AS negative FROM t)""")
+def r10b(spark, d):
+    """Eigenvalues of all components add up to the trace, their squares to the sum of squared covariances."""
+    r = M.market_pca(daily(spark, d), SIZE)[2]
+    return r.agg(F.count("*").alias("components"), F.sum("value").alias("total"), F.sum(C("value") * C("value")).alias("squares"), (F.min("value") < -1e-3).alias("negative"))
+
+
+@query("r10_orthonormal_loadings", "i# j# dot:6", "result AS (SELECT a.range AS i, b.range AS j, CASE WHEN a.range = b.range THEN 1.0 ELSE 0.0 END AS dot FROM range(5) a, range(5) b)")
+def r10c(spark, d):
+    v = M.market_pca(daily(spark, d), 5)[1]
+    a, b = v.select("symbol", C("component").alias("i"), C("loading").alias("_a")), v.select("symbol", C("component").alias("j"), C("loading").alias("_b"))
+    return a.join(b, "symbol").groupBy("i", "j").agg(F.sum(C("_a") * C("_b")).alias("dot"))
 
 
 @query("r11_eigenportfolios", "component# symbol w:6")
 def r11(spark, d):
-    return M.eigenportfolios(M.market_pca(monthly(spark, d), 3)[1])
+    return M.eigenportfolios(M.market_pca(daily(spark, d), 3)[1])
 
 
 @query("r12_reconstruction", "ts! symbol value:6")
 def r12(spark, d):
-    s, l, _, m = M.market_pca(monthly(spark, d), 5)
-    return M.reconstruct(s, l, m, 3)
+    r = daily(spark, d)
+    s, l, _, m = M.market_pca(r, 5)
+    return M.reconstruct(s, l, m, 3, panel=r)
 
 
 @query("r13_factor_attribution", "symbol ts! factor_return:6 specific_return:6")
 def r13(spark, d):
-    r = monthly(spark, d)
+    r = daily(spark, d)
     return M.attribution(r, M.factor_returns(M.market_pca(r, 3)[0]))
 
 
 @query("r14_variance_decomposition", "symbol total:6 factor_pct:4 specific_pct:4 specific_risk:6")
 def r14(spark, d):
-    r = monthly(spark, d)
+    r = daily(spark, d)
     return M.variance_decomposition(M.attribution(r, M.factor_returns(M.market_pca(r, 3)[0])))
 
 
 @query("r15_factor_timing", "ts! f1:6 signal:1")
 def r15(spark, d):
-    return M.factor_timing(M.factor_returns(M.market_pca(monthly(spark, d), 3)[0]), n=6)
+    return M.factor_timing(M.factor_returns(M.market_pca(daily(spark, d), 3)[0]))
 
 
-@query("r16_rolling_exposure", "window_end! symbol loading:5 ratio:5")
+@query("r16_rolling_exposure", "window_end! component# symbol loading:5 ratio:5")
 def r16(spark, d):
-    return M.rolling_exposure(monthly(spark, d), 36)
+    return M.rolling_exposure(daily(spark, d))
 
 
 for _m in ("kmeans", "gmm", "hierarchical"):
-    query(f"r17_cluster_{_m}", "symbol cluster#")(lambda spark, d, m=_m: M.cluster(durable(M.asset_vectors(log_returns(spark, d), dims=8 if m == "gmm" else None)), 4, m))
+    query(f"r17_cluster_{_m}", "symbol cluster#")(lambda spark, d, m=_m: M.cluster(durable(M.asset_vectors(log_returns(spark, d), dims=5 if m == "gmm" else None)), 4, m))
 
 
 @query("r18_dbscan", "vec_id# cluster#")
