@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.distributions import f_sf, t_sf
-from ..core.pairs import pair_moments
+from ..core.lagged import lagged_pair_moments, residual_tests, series_tests
 from ..core.regress import gram, ols
 from ..core.slices import over_rows, spread
 from ..session import durable
@@ -96,52 +96,32 @@ EG_5 = -3.3377
 KPSS_5 = 0.463
 
 
-def unit_root(df: DataFrame, value: str, keys: Sequence[str] = ("symbol",), critical: float = ADF_5, constant: bool = True) -> DataFrame:
-    """Dickey-Fuller regression of the difference on the lagged level: slope, t statistic and verdict."""
+def unit_root(df: DataFrame, value: str, keys: Sequence[str] = ("symbol",), critical: float = ADF_5, constant: bool = True, lags: int = 1, criterion: str | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller regression of the difference on the lagged level and ``lags`` lagged differences.
+
+    Slope, t statistic, verdict and the lag used: ``lags``, or with a criterion (aic, bic) the best of 0 to ``lags``
+    on the same rows. Series without a solution have nulls.
+    """
     keys = list(keys)
-    d = over_rows(df, lambda x, w: x.withColumn("_l", F.lag(value).over(w)), back=1, keys=keys).where("_l is not null").withColumn("_d", C(value) - C("_l"))
-    return _df_stat(d, keys, critical, constant)
 
+    def f(x, w):
+        at = lambda i: F.lag(value, i).over(w) if i else C(value)
+        return x.withColumns({"_l": at(1), "_d": at(0) - at(1), **{f"_d{i}": at(i) - at(i + 1) for i in range(1, lags + 1)}})
 
-def _df_stat(d: DataFrame, keys: Sequence[str], critical: float, constant: bool) -> DataFrame:
-    if constant:
-        g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("_d", "_l").alias("slope"), F.regr_r2("_d", "_l").alias("_r2"),
-                                 F.regr_sxx("_d", "_l").alias("_sxx"), F.regr_syy("_d", "_l").alias("_syy"))
-        se = F.sqrt((1 - C("_r2")) * C("_syy") / (C("n") - 2) / C("_sxx"))
-    else:
-        g = d.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum(C("_d") * C("_l")) / F.sum(C("_l") * C("_l"))).alias("slope"),
-                                 F.sum(C("_l") * C("_l")).alias("_sxx"), F.sum(C("_d") * C("_d")).alias("_syy"))
-        se = F.sqrt((C("_syy") - C("slope") * C("slope") * C("_sxx")) / (C("n") - 1) / C("_sxx"))
-    g = g.withColumn("statistic", C("slope") / se)
-    return g.select(*keys, "n", "slope", "statistic", (C("statistic") < critical).alias("stationary"))
+    d = over_rows(df.where(C(value).isNotNull()), f, back=lags + 1, keys=keys)
+    sums = gram(d, keys, "_d", ["_l", *[f"_d{i}" for i in range(1, lags + 1)]], constant)
+    return series_tests(sums, keys, lags, constant, criterion).withColumn("stationary", C("statistic") < critical)
 
 
-def pair_prices(panel: DataFrame, value: str, least: int = 50, blocks: int = 4) -> DataFrame:
-    """(a, b, ts, y, x) for every pair with enough common dates and the hedge ratio of y on x.
+def engle_granger(panel: DataFrame, value: str, least: int = 50, critical: float = EG_5, lags: int = 1, criterion: str | None = None, blocks: int | None = None) -> DataFrame:
+    """Residual Dickey-Fuller statistic for every pair with enough common dates, with the half-life of the spread.
 
-    Which pairs qualify and their regressions come from the blocked matrix product; only then are
-    the dates of the qualifying pairs read.
+    Everything comes from lagged moments, summed in blocks of series; no pair meets its dates as rows. A residual's lag is
+    the date before on which both series have a value.
     """
-    m = pair_moments(panel, value, blocks, diagonal=False).where(C("n") >= least)
-    n = C("n")
-    sxx = C("syy") - C("sy") * C("sy") / n
-    slope = (C("sxy") - C("sx") * C("sy") / n) / sxx
-    p = durable(m.where(sxx > 0).select("a", "b", n.cast("long").alias("n"), slope.alias("hedge"), ((C("sx") - slope * C("sy")) / n).alias("intercept")))
-    y = panel.select(C("symbol").alias("a"), "ts", C(value).alias("y"))
-    x = panel.select(C("symbol").alias("b"), "ts", C(value).alias("x"))
-    return p.join(y, "a").join(x, ["b", "ts"])
-
-
-def engle_granger(panel: DataFrame, value: str, least: int = 50, critical: float = EG_5) -> DataFrame:
-    """Residual Dickey-Fuller statistic for every pair, most negative first, with the half-life of the spread."""
-    d = pair_prices(panel, value, least).withColumn("e", C("y") - C("intercept") - C("hedge") * C("x"))
-    d = durable(d.select("a", "b", "ts", "hedge", "e"))
-    lagged = over_rows(d, lambda x, w: x.withColumn("_l", F.lag("e").over(w)), back=1, keys=["a", "b"]).where("_l is not null").withColumn("_d", C("e") - C("_l"))
-    lagged = durable(lagged)
-    g = _df_stat(lagged, ["a", "b"], critical, False).drop("n")
-    h = lagged.groupBy("a", "b").agg(F.first("hedge").alias("hedge"), F.count("*").alias("n"), (1 + F.regr_slope("_d", "_l")).alias("_phi"))
-    out = g.join(h, ["a", "b"]).withColumn("half_life", _half_life(C("_phi"))).withColumnRenamed("stationary", "cointegrated")
-    return out.drop("_phi")
+    m = lagged_pair_moments(panel, value, lags + 1, blocks)
+    out = residual_tests(m, lags, least, criterion)
+    return out.withColumns({"cointegrated": C("statistic") < critical, "half_life": _half_life(C("phi"))}).drop("phi")
 
 
 def _half_life(phi: Column) -> Column:
@@ -265,13 +245,65 @@ def granger(pairs: DataFrame, max_lag: int = 5, keys: Sequence[str] = ("pair",))
     return out.groupBy(*keys).agg(F.min("p").alias("p"), F.min_by("lag", "p").alias("lag"), F.min_by("f", "p").alias("f"))
 
 
+def _with_lags(wide: DataFrame, names: Sequence[str], lags: int, order: Sequence, bin) -> DataFrame:
+    lag = lambda x, w: x.withColumns({f"{n}_l{i}": F.lag(n, i).over(w) for n in names for i in range(1, lags + 1)})
+    return over_rows(wide.withColumn("_k", F.lit("var")), lag, back=lags, keys=["_k"], order=order, bin=bin)
+
+
 def var_model(wide: DataFrame, names: Sequence[str], lags: int = 1, order: Sequence = ("ts",), bin="month") -> DataFrame:
     """Least-squares equations of a vector autoregression: one row per equation with AIC and coefficients."""
-    lag = lambda x, w: x.withColumns({f"{n}_l{i}": F.lag(n, i).over(w) for n in names for i in range(1, lags + 1)})
-    d = durable(over_rows(wide.withColumn("_k", F.lit("var")), lag, back=lags, keys=["_k"], order=order, bin=bin))
+    d = durable(_with_lags(wide, names, lags, order, bin))
     xs = [f"{n}_l{i}" for i in range(1, lags + 1) for n in names]
     out = None
     for n in names:
         e = ols(d, ["_k"], n, xs).withColumn("equation", F.lit(n)).drop("_k")
         out = e if out is None else out.unionByName(e)
     return out
+
+
+def var_order(wide: DataFrame, names: Sequence[str], max_lags: int = 5, order: Sequence = ("ts",), bin="month") -> DataFrame:
+    """(lags, n, aic, bic, best) of the whole system for 1 to ``max_lags`` lags, ``best`` by AIC.
+
+    One aggregate holds the sums of every order; all orders are fitted on the rows that have ``max_lags`` lags.
+    """
+    names, size = list(names), len(names)
+    xs = [f"{n}_l{i}" for i in range(1, max_lags + 1) for n in names]
+    cols = [*xs, *names[1:]]  # the first series is the y of the sums, so that they hold every product
+    g = gram(_with_lags(wide, names, max_lags, order, bin), ["_k"], names[0], cols)
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                k = len(cols) + 1
+                a = np.zeros((k + 1, k + 1))
+                for i in range(k):
+                    a[i, k] = a[k, i] = r[f"_c{i}"]
+                    for j in range(i, k):
+                        a[i, j] = a[j, i] = r[f"_g{i}_{j}"]
+                a[k, k] = r["_yy"]
+                n, ys = int(r["n"]), [k, *range(k - size + 1, k)]
+                for lag in range(1, max_lags + 1):
+                    use = list(range(1 + size * lag))
+                    if n <= len(use):
+                        continue
+                    scale = np.sqrt(np.maximum(np.diag(a)[use], 1e-300))
+                    inv = np.linalg.pinv(a[np.ix_(use, use)] / np.outer(scale, scale), rcond=1e-13) / np.outer(scale, scale)
+                    cross = a[np.ix_(use, ys)]
+                    sign, det = np.linalg.slogdet((a[np.ix_(ys, ys)] - cross.T @ inv @ cross) / n)
+                    if sign > 0:
+                        free = size * len(use)
+                        rows.append((lag, n, det + 2 * free / n, det + np.log(n) * free / n))
+            best = min(rows, key=lambda r: r[2])[0] if rows else None
+            yield pd.DataFrame([(*r, r[0] == best) for r in rows], columns=["lags", "n", "aic", "bic", "best"])
+
+    return g.mapInPandas(solve, "lags int, n long, aic double, bic double, best boolean")
+
+
+def var_residuals(wide: DataFrame, names: Sequence[str], model: DataFrame, lags: int = 1, order: Sequence = ("ts",), bin="month") -> DataFrame:
+    """``order`` columns and ``<name>_resid`` of every equation of ``var_model``, for the rows that have all lags."""
+    xs = [f"{n}_l{i}" for i in range(1, lags + 1) for n in names]
+    coef = model.agg(*[F.max(F.when(C("equation") == n, C("coef"))).alias(f"_c{i}") for i, n in enumerate(names)])  # one row
+    d = _with_lags(wide, names, lags, order, bin).where(" and ".join(f"`{c}` is not null" for c in [*names, *xs])).join(F.broadcast(coef))
+    fit = lambda i: sum((C(f"_c{i}")[j + 1] * C(x) for j, x in enumerate(xs)), C(f"_c{i}")[0])
+    return d.select(*order, *[(C(n) - fit(i)).alias(f"{n}_resid") for i, n in enumerate(names)])

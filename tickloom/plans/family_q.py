@@ -90,9 +90,11 @@ EG = BARS + """, lp AS (SELECT symbol, ts, ln(close) AS v FROM bars),
 pp AS (SELECT a.symbol AS a, b.symbol AS b, a.ts, a.v AS y, b.v AS x FROM lp a JOIN lp b ON a.ts = b.ts AND a.symbol < b.symbol),
 h AS (SELECT a, b, regr_slope(y, x) AS hedge, regr_intercept(y, x) AS i0 FROM pp GROUP BY a, b HAVING count(*) >= 50),
 e AS (SELECT a, b, ts, y - i0 - hedge * x AS e, hedge FROM pp JOIN h USING (a, b)),
-l AS (SELECT *, lag(e) OVER (PARTITION BY a, b ORDER BY ts) AS l FROM e), g0 AS (SELECT a, b, any_value(hedge) AS hedge, count(*) AS n, sum((e - l) * l) / sum(l * l) AS slope, sum(l * l) AS sxx, sum((e - l) * (e - l)) AS syy,
-  1 + regr_slope(e - l, l) AS phi FROM l WHERE l IS NOT NULL GROUP BY a, b),
-eg AS (SELECT *, slope / sqrt((syy - slope * slope * sxx) / (n - 1) / sxx) AS statistic, CASE WHEN phi > 0 AND phi < 1 THEN -ln(2) / ln(phi) END AS hl FROM g0)"""
+l AS (SELECT a, b, hedge, e - lag(e) OVER w AS d, lag(e) OVER w AS l, lag(e) OVER w - lag(e, 2) OVER w AS d1 FROM e WINDOW w AS (PARTITION BY a, b ORDER BY ts)),
+g0 AS (SELECT a, b, any_value(hedge) AS hedge, count(d1) AS n, sum(l * l) FILTER (d1 IS NOT NULL) AS s11, sum(d1 * d1) AS s22, sum(l * d1) AS s12, sum(d * l) FILTER (d1 IS NOT NULL) AS c1, sum(d * d1) AS c2,
+  sum(d * d) FILTER (d1 IS NOT NULL) AS syy, 1 + regr_slope(d, l) AS phi FROM l GROUP BY a, b),
+g1 AS (SELECT *, s11 * s22 - s12 * s12 AS det, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS slope, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM g0),
+eg AS (SELECT *, slope / sqrt((syy - slope * c1 - b2 * c2) / (n - 2) * s22 / det) AS statistic, CASE WHEN phi > 0 AND phi < 1 THEN -ln(2) / ln(phi) END AS hl FROM g1)"""
 
 
 def panel(spark, d):
@@ -104,9 +106,11 @@ def q09(spark, d):
     return R.engle_granger(durable(panel(spark, d)), "v")
 
 
-@query("q10_unit_root", "symbol n# slope:6 statistic:5 stationary", BARS + """, l AS (SELECT symbol, ln(close) AS v, lag(ln(close)) OVER (PARTITION BY symbol ORDER BY ts) AS l FROM bars),
-g AS (SELECT symbol, count(*) AS n, regr_slope(v - l, l) AS slope, regr_r2(v - l, l) AS r2, regr_sxx(v - l, l) AS sxx, regr_syy(v - l, l) AS syy FROM l WHERE l IS NOT NULL GROUP BY symbol),
-result AS (SELECT symbol, n, slope, slope / sqrt((1 - r2) * syy / (n - 2) / sxx) AS statistic, slope / sqrt((1 - r2) * syy / (n - 2) / sxx) < -2.8621 AS stationary FROM g)""")
+@query("q10_unit_root", "symbol n# slope:6 statistic:5 stationary", BARS + """,
+l AS (SELECT symbol, ln(close) - lag(ln(close)) OVER w AS d, lag(ln(close)) OVER w AS l, lag(ln(close)) OVER w - lag(ln(close), 2) OVER w AS d1 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+g AS (SELECT symbol, count(*) AS n, var_pop(l) AS s11, var_pop(d1) AS s22, covar_pop(l, d1) AS s12, covar_pop(d, l) AS c1, covar_pop(d, d1) AS c2, var_pop(d) AS syy FROM l WHERE d1 IS NOT NULL GROUP BY symbol),
+b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS slope, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM g),
+result AS (SELECT symbol, n, slope, slope / sqrt((syy - slope * c1 - b2 * c2) / (n - 3) * s22 / det) AS statistic, slope / sqrt((syy - slope * c1 - b2 * c2) / (n - 3) * s22 / det) < -2.8621 AS stationary FROM b)""")
 def q10(spark, d):
     return R.unit_root(panel(spark, d), "v")
 
@@ -172,7 +176,31 @@ def q18(spark, d):
     return R.granger(pairs(spark, d).select("pair", "ts", "y", "x"))
 
 
-@query("q19_var_model", "equation n# c0:6 c1:6 c2:6 aic:4")
+VAR = BARS + """, w AS (SELECT ts, avg(ln(close)) AS p, avg(ln(volume)) AS v FROM bars GROUP BY ts),
+x AS (SELECT ts, p, v, lag(p) OVER (ORDER BY ts) AS x1, lag(v) OVER (ORDER BY ts) AS x2 FROM w),
+u AS (SELECT ts, 'p' AS equation, p AS y, x1, x2 FROM x WHERE x1 IS NOT NULL UNION ALL SELECT ts, 'v', v, x1, x2 FROM x WHERE x1 IS NOT NULL),
+m AS (SELECT equation, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(y, x1) AS k1, covar_pop(y, x2) AS k2, var_pop(y) AS syy FROM u GROUP BY equation),
+b AS (SELECT *, (k1 * s22 - k2 * s12) / (s11 * s22 - s12 * s12) AS c1, (k2 * s11 - k1 * s12) / (s11 * s22 - s12 * s12) AS c2 FROM m),
+eq AS (SELECT *, my - c1 * m1 - c2 * m2 AS c0, n * (ln(2 * pi() * (syy - c1 * k1 - c2 * k2)) + 1) + 6 AS aic FROM b)"""
+
+
+def system(spark, d):
+    return bars(spark, d).groupBy("ts").agg(F.avg(F.log("close")).alias("p"), F.avg(F.log("volume")).alias("v"))
+
+
+@query("q19_var_model", "equation n# c0:6 c1:6 c2:6 aic:4", VAR + ", result AS (SELECT * FROM eq)")
 def q19(spark, d):
-    b = bars(spark, d).groupBy("ts").agg(F.avg(F.log("close")).alias("p"), F.avg(F.log("volume")).alias("v"))
-    return R.var_model(b, ["p", "v"], 1).withColumns({f"c{i}": C("coef")[i] for i in range(3)})
+    return R.var_model(system(spark, d), ["p", "v"], 1).withColumns({f"c{i}": C("coef")[i] for i in range(3)})
+
+
+@query("q19_var_order", "lags# n# aic:6 bic:6 best")
+def q19b(spark, d):
+    return R.var_order(system(spark, d), ["p", "v"])
+
+
+@query("q19_var_residuals", "ts! p_resid:6 v_resid:6", VAR + """,
+r AS (SELECT ts, equation, y - c0 - c1 * x1 - c2 * x2 AS e FROM u JOIN eq USING (equation)),
+result AS (SELECT ts, max(CASE WHEN equation = 'p' THEN e END) AS p_resid, max(CASE WHEN equation = 'v' THEN e END) AS v_resid FROM r GROUP BY ts)""")
+def q19c(spark, d):
+    w = durable(system(spark, d))
+    return R.var_residuals(w, ["p", "v"], R.var_model(w, ["p", "v"], 1), 1)
