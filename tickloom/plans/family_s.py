@@ -402,9 +402,37 @@ def s35b(spark, d):
     return x.select("doc_id", F.posexplode("topics").alias("topic", "weight"))
 
 
-@query("s36_lsi", "component# value:4")
+@query("s36_lsi", "component# value:4 ratio:4")
 def s36(spark, d):
-    return P.lsi(docs(spark, d), "doc_id", 5, 500)
+    return P.lsi(docs(spark, d), "doc_id")[0]
+
+
+@query("s36_lsi_words", "component# place# term weight:4")
+def s36b(spark, d):
+    return P.lsi_words(P.lsi(docs(spark, d), "doc_id")[1])
+
+
+@query("s36_lsi_documents", "doc_id# component# weight:4")
+def s36c(spark, d):
+    return P.lsi(docs(spark, d), "doc_id")[2]
+
+
+WORDS = 40  # so few terms that every singular value can be asked for
+
+LSI = rf"""l AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(t) AS term FROM l) GROUP BY 1, 2),
+v AS (SELECT term, sum(n) AS total, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT {WORDS}),
+wt AS (SELECT doc_id, term, n * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN v USING (term)),
+wl AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wt),
+gm AS (SELECT a.term AS i, b.term AS j, sum(a.w * b.w) AS g FROM wl a JOIN wl b USING (doc_id) GROUP BY 1, 2)"""
+
+
+@query("s36_lsi_identities", "components# total:5 squares:3 documents:5 ratio:6", LSI + """,
+result AS (SELECT (SELECT count(*) FROM v) AS components, sum(g) FILTER (i = j) AS total, sum(g * g) AS squares, sum(g) FILTER (i = j) AS documents, 1.0 AS ratio FROM gm)""")
+def s36d(spark, d):
+    """With all components: squared singular values add up to the squared weights, their squares to the Gram matrix, and both sides agree."""
+    t, _, x = P.lsi(docs(spark, d), "doc_id", WORDS, max_features=WORDS, ngrams=(1, 1))
+    v = t.agg(F.count("*").alias("components"), F.sum(C("value") ** 2).alias("total"), F.sum(C("value") ** 4).alias("squares"), F.sum("ratio").alias("ratio"))
+    return v.join(x.agg(F.sum(C("weight") ** 2).alias("documents")))
 
 
 # Topic weights with a plain definition, so that the topic tables can be compared: the share of a document's words by length class.

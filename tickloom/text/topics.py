@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.slices import over_rows, spread
+from ..core.svd import truncated_svd
 from ..session import durable
 from .documents import tokens
+from .terms import tfidf
 
 C = F.col
 
@@ -40,16 +42,30 @@ def topic_words(model, vocabulary: Sequence[str], n: int = 10) -> DataFrame:
     return t.join(F.broadcast(v), C("z.termIndices") == C("i")).select("topic", "place", "word", C("z.termWeights").alias("weight"))
 
 
-def lsi(df: DataFrame, key: str, k: int = 5, vocabulary: int = 1000):
-    """Truncated SVD of the count matrix: (singular values, document coordinates)."""
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    _, d = count_vectors(df, vocabulary=vocabulary)
-    d = durable(d.select(key, "counts").orderBy(key))
-    rows = d.select("counts").rdd.map(lambda r: Vectors.sparse(r[0].size, r[0].indices, r[0].values))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    spark = df.sparkSession
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(svd.s)], "component int, value double")
+def lsi(df: DataFrame, key: str, k: int = 10, text: str = "text", max_features: int = 10_000, ngrams: tuple[int, int] = (1, 2), min_df: int = 2, max_df: float = 0.8):
+    """Truncated SVD of the tf-idf rows of a corpus: (topics, words, documents).
+
+    ``topics`` is (component, value, ratio) with the share of the variance of the columns, over all documents; ``words`` (component, term,
+    weight); ``documents`` (key, component, weight) for every document, 0 where it holds no term of the vocabulary.
+    Documents without a key take no part. Stop words stay in unless ``max_df`` takes them.
+    """
+    cells = durable(tfidf(df.where(C(key).isNotNull()), key, text, max_features, ngrams, min_df, max_df))
+    values, words, rows = truncated_svd(cells, key, k)
+    rows = durable(rows)
+    every = df.where(C(key).isNotNull()).select(key).distinct()
+    documents = every.join(values.select("component")).join(rows, [key, "component"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))  # k rows
+    size = every.agg(F.count("*").alias("_n"))
+    spread_of = lambda d, by, v: d.groupBy(by).agg(F.sum(v).alias("_s"), F.sum(C(v) * C(v)).alias("_q")).join(F.broadcast(size)).select(by, (C("_q") / C("_n") - C("_s") * C("_s") / C("_n") / C("_n")).alias("_var"))
+    total = spread_of(cells, "term", "weight").agg(F.sum("_var").alias("_total"))
+    own = spread_of(rows, "component", "weight")
+    topics = values.join(own, "component").join(F.broadcast(total)).select("component", "value", (C("_var") / C("_total")).alias("ratio"))
+    return topics, words, documents
+
+
+def lsi_words(words: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` terms of largest absolute weight per component, with their sign."""
+    w = Window.partitionBy("component").orderBy(F.desc(F.abs("weight")), "term")
+    return words.withColumn("place", F.row_number().over(w) - 1).where(C("place") < n).select("component", "place", "term", "weight")
 
 
 def choose_topics(df: DataFrame, ks: Sequence[int], iterations: int = 5) -> DataFrame:
