@@ -111,6 +111,13 @@ def with_loadings(df: DataFrame, loadings: DataFrame) -> DataFrame:
     return df.join(own, "symbol")
 
 
+def component_scores(returns: DataFrame, loadings: DataFrame, means: DataFrame, k: int, value: str = "ret", order: str = "ts") -> DataFrame:
+    """(date, scores) of a panel on given loadings and means; assets without a value on a date add nothing."""
+    centred = with_loadings(returns.where(C(value).isNotNull()).join(means, "symbol").withColumn("_c", C(value) - C("mean")), loadings)
+    sums = F.array(*[F.sum(C("_c") * F.get("_load", F.lit(i))) for i in range(k)])
+    return centred.groupBy(order).agg(sums.alias("scores")).withColumn("scores", F.filter("scores", lambda x: x.isNotNull()))
+
+
 def market_pca(returns: DataFrame, k: int, value: str = "ret", order: str = "ts", complete: bool = False):
     """Centred components: (scores, loadings, variance ratios, means).
 
@@ -126,9 +133,7 @@ def market_pca(returns: DataFrame, k: int, value: str = "ret", order: str = "ts"
     loadings = leading(cov, k)
     total = cov.where("a = b").agg(F.sum("cov").alias("_total"))  # one row
     ratios = loadings.groupBy("component").agg(F.max("value").alias("value")).join(F.broadcast(total)).select("component", (C("value") / C("_total")).alias("ratio"), "value")
-    centred = with_loadings(d.join(means, "symbol").withColumn("_c", C("_v") - C("mean")), loadings)
-    sums = F.array(*[F.sum(C("_c") * F.get("_load", F.lit(i))) for i in range(k)])
-    scores = centred.groupBy(C("ts").alias(order)).agg(sums.alias("scores")).withColumn("scores", F.filter("scores", lambda x: x.isNotNull()))
+    scores = component_scores(d, loadings, means, k, "_v").withColumnRenamed("ts", order)
     return scores, loadings.select("symbol", "component", "loading"), ratios, means
 
 
@@ -296,8 +301,50 @@ def cluster_correlation(corr: DataFrame, labels: DataFrame) -> DataFrame:
     return both.join(l("a", "ca"), "a").join(l("b", "cb"), "b").groupBy("ca", "cb").agg(F.avg("corr").alias("corr"))
 
 
+def kolmogorov_tail(x):
+    """Chance that the limit of the scaled Kolmogorov-Smirnov gap exceeds ``x``; 1 below 0.2, where the series is slow."""
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.when(i % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * i * i * x * x))
+    tail = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+    return F.when(x < 0.2, F.lit(1.0)).when(x.isNotNull(), F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
+
+
+def autocorrelation_gap(real: DataFrame, synthetic: DataFrame, by: Sequence[str], value: str, lags: int = 20) -> DataFrame:
+    """Mean absolute difference of the two autocorrelations per group, over lags 0 to ``lags`` that both series have.
+
+    A correlation is the mean product of deviations from the series' mean, divided by its variance; 0 for a flat series.
+    """
+    by = list(by)
+
+    def acf(d, name):
+        m = d.where(C(value).isNotNull()).groupBy(*by).agg(F.avg(value).alias("_mean"), F.var_pop(value).alias("_var"))
+        e = d.where(C(value).isNotNull()).join(m, by).withColumn("_e", C(value) - C("_mean"))
+        e = over_rows(e, lambda x, w: x.withColumns({f"_l{i}": F.lag("_e", i).over(w) for i in range(1, lags + 1)}), back=lags, keys=by)
+        one = lambda i: F.when(F.max("_var") > 0, F.avg(C("_e") * C(f"_l{i}")) / F.max("_var")).otherwise(F.when(F.count(f"_l{i}") > 0, 0.0))
+        return e.groupBy(*by).agg(F.array(F.lit(0.0), *[one(i) for i in range(1, lags + 1)]).alias(name))  # lag 0 is 1 on both sides
+
+    j = acf(real, "_r").join(acf(synthetic, "_s"), by)
+    gaps = F.filter(F.zip_with("_r", "_s", lambda a, b: F.abs(a - b)), lambda x: x.isNotNull())
+    return j.select(*by, (F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b) / F.size(gaps)).alias("acf_gap"))
+
+
+def component_gap(real: DataFrame, synthetic: DataFrame, k: int = 5, value: str = "ret", order: str = "ts") -> DataFrame:
+    """(component, variance_gap, ks, p): both panels on the components of the real one.
+
+    Scores are floating sums, so equal panels may differ in their last bits and show a gap of one row.
+    """
+    scores, loadings, _, means = market_pca(real, k, value, order)
+    long = lambda s: durable(s.select(F.posexplode("scores").alias("component", "score")))
+    r, s = long(scores), long(component_scores(synthetic, loadings, means, k, value, order))
+    var = lambda d, n: d.groupBy("component").agg(F.var_pop("score").alias(n))
+    j = ks_statistic(r, s, ["component"], "score").join(var(r, "_r"), "component").join(var(s, "_s"), "component")
+    return j.select("component", F.abs(C("_r") - C("_s")).alias("variance_gap"), "ks", "p")
+
+
 def ks_statistic(real: DataFrame, synthetic: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Largest gap of the two empirical distribution functions per group, with mean and std gaps."""
+    """Largest gap of the two empirical distribution functions per group, its p value, and mean and std gaps.
+
+    The p value is that of the limit distribution for large samples.
+    """
     by = list(by)
     r = real.select(*by, C(value).alias("_v"), F.lit(1).alias("_r"))
     s = synthetic.select(*by, C(value).alias("_v"), F.lit(0).alias("_r"))
@@ -306,7 +353,8 @@ def ks_statistic(real: DataFrame, synthetic: DataFrame, by: Sequence[str], value
     t = u.groupBy(*by).agg(F.sum("_nr").alias("_tr"), F.sum("_ns").alias("_ts"))
     from ..core.slices import value_bin
     c = spread(u, keys=by, order=["_v"], bin=value_bin("_v")).run(_cr=("sum", C("_nr")), _cs=("sum", C("_ns"))).done()
-    gap = c.join(t, by).groupBy(*by).agg(F.max(F.abs(C("_cr") / C("_tr") - C("_cs") / C("_ts"))).alias("ks"))
+    gap = c.join(t, by).groupBy(*by).agg(F.max(F.abs(C("_cr") / C("_tr") - C("_cs") / C("_ts"))).alias("ks"), F.max(C("_tr") * C("_ts") / (C("_tr") + C("_ts"))).alias("_n"))
+    gap = gap.withColumn("p", kolmogorov_tail(F.sqrt("_n") * C("ks")))
     st = lambda d, p: d.groupBy(*by).agg(F.avg(value).alias(f"_m{p}"), F.stddev_samp(value).alias(f"_s{p}"))
     j = gap.join(st(real, "r"), by).join(st(synthetic, "s"), by)
-    return j.select(*by, "ks", F.abs(C("_mr") - C("_ms")).alias("mean_gap"), F.abs(C("_sr") - C("_ss")).alias("std_gap"))
+    return j.select(*by, "ks", "p", F.abs(C("_mr") - C("_ms")).alias("mean_gap"), F.abs(C("_sr") - C("_ss")).alias("std_gap"))

@@ -205,6 +205,39 @@ def r21(spark, d):
     return M.ks_statistic(durable(b.select("symbol", F.log("close").alias("v"))), durable(b.where("volume % 2 = 0").select("symbol", (F.log("open") + 0.1).alias("v"))), ["symbol"], "v")
 
 
+SYN = BARS + """, re AS (SELECT symbol, ln(close) AS v FROM bars), sy AS (SELECT symbol, ln(open) + 0.1 AS v FROM bars WHERE volume % 2 = 0),
+u AS (SELECT symbol, v, sum(r) AS nr, sum(1 - r) AS ns FROM (SELECT symbol, v, 1 AS r FROM re UNION ALL SELECT symbol, v, 0 FROM sy) GROUP BY symbol, v),
+c AS (SELECT symbol, sum(nr) OVER (PARTITION BY symbol ORDER BY v) / sum(nr) OVER (PARTITION BY symbol) AS a, sum(ns) OVER (PARTITION BY symbol ORDER BY v) / sum(ns) OVER (PARTITION BY symbol) AS b FROM u),
+k AS (SELECT symbol, max(abs(a - b)) AS ks FROM c GROUP BY symbol), m AS (SELECT symbol, avg(v) AS m, stddev_samp(v) AS s FROM re GROUP BY symbol), n AS (SELECT symbol, avg(v) AS m, stddev_samp(v) AS s FROM sy GROUP BY symbol),
+sz AS (SELECT symbol, ks, (SELECT count(*) FROM re WHERE re.symbol = k.symbol) AS a, (SELECT count(*) FROM sy WHERE sy.symbol = k.symbol) AS b FROM k)"""
+
+
+def real_and_synthetic(spark, d):
+    b = bars(spark, d)
+    return durable(b.select("symbol", "ts", F.log("close").alias("v"))), durable(b.where("volume % 2 = 0").select("symbol", "ts", (F.log("open") + 0.1).alias("v")))
+
+
+@query("r21_ks_test", "symbol ks:8 p:6", SYN + """, x AS (SELECT symbol, ks, sqrt(a * b / (a + b)) * ks AS x FROM sz),
+result AS (SELECT symbol, ks, CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(list_sum(list_transform(generate_series(1, 100), lambda i: (CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0::DOUBLE * i * i * x * x))), 0), 1) END AS p FROM x)""")
+def r21b(spark, d):
+    return M.ks_statistic(*real_and_synthetic(spark, d), ["symbol"], "v")
+
+
+ACF = lambda t: f"(SELECT symbol, i, avg((v - m) * (l - m)) / any_value(q) AS c FROM (SELECT symbol, i, v, lag(v, i) OVER (PARTITION BY symbol, i ORDER BY ts) AS l, avg(v) OVER (PARTITION BY symbol) AS m, var_pop(v) OVER (PARTITION BY symbol) AS q FROM {t}, range(1, 21) r(i)) WHERE l IS NOT NULL GROUP BY symbol, i)"
+
+
+@query("r21_autocorrelation_gap", "symbol acf_gap:7", BARS + f""", re AS (SELECT symbol, ts, ln(close) AS v FROM bars), sy AS (SELECT symbol, ts, ln(open) + 0.1 AS v FROM bars WHERE volume % 2 = 0),
+result AS (SELECT symbol, sum(abs(a.c - b.c)) / 21 AS acf_gap FROM {ACF('re')} a JOIN {ACF('sy')} b USING (symbol, i) GROUP BY symbol)""")
+def r21c(spark, d):
+    return M.autocorrelation_gap(*real_and_synthetic(spark, d), ["symbol"], "v")
+
+
+@query("r21_component_gap", "component# variance_gap:6 ks:6 p:6")
+def r21d(spark, d):
+    r, s = real_and_synthetic(spark, d)
+    return M.component_gap(r, s, 5, "v")
+
+
 @query("r07_model_catalog", "models# model score")
 def r07(spark, d):
     from ..session import scratch_folder
