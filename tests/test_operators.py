@@ -135,3 +135,10 @@ def test_vector_file_skips_bad_lines(spark, tmp_path):
     (tmp_path / "v.txt").write_text("king 1.0 2.0\nbad 1.0 x\nqueen 3 4\n")
     got = {r.word: list(r.vector) for r in T.read_vectors(spark, str(tmp_path / "v.txt")).collect()}
     assert got == {"king": [1.0, 2.0], "queen": [3.0, 4.0]}
+
+
+def test_tick_jumps_after_a_zero_price(spark):
+    df = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 1, 0.0), ("a", 2, 2, 0.0), ("a", 3, 3, 2.0), ("a", 4, 4, 2.01), ("b", 0, 5, None), ("b", 1, 6, 3.0)], "symbol string, t long, seq long, price double")
+    d = ticks.tick_jumps(df.withColumn("ts", F.timestamp_seconds("t"))).orderBy("seq").toPandas()
+    assert d.seq.tolist() == [1, 2, 3] and d.prev_price.tolist() == [1.0, 0.0, 0.0]  # 2.01 is less than 1 % above 2
+    assert d.move[0] == -1.0 and np.isnan(d.move[1]) and d.move[2] == np.inf

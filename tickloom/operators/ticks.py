@@ -220,5 +220,7 @@ def depth_imbalance(book: DataFrame, levels: int = 5) -> DataFrame:
 def tick_jumps(ticks: DataFrame, limit: float = 0.01, bin: str = "day") -> DataFrame:
     def f(d, w):
         prev = F.lag("price").over(w)
-        return d.withColumn("prev_price", prev).withColumn("move", F.col("price") / F.col("prev_price") - 1)
+        # a price after 0 is an infinite move (0 after 0: NaN, which is above every limit); the division itself would end the query
+        ratio = F.when(F.col("prev_price") != 0, F.col("price") / F.col("prev_price")).otherwise(F.col("price") * F.pow("prev_price", F.lit(-1.0)))
+        return d.withColumn("prev_price", prev).withColumn("move", ratio - 1)
     return over_rows(ticks, f, back=1, order=["ts", "seq"], bin=bin).where(F.abs("move") > limit)
