@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import density
 from ..core.pairs import pair_moments
 from ..core.regress import ols
 from ..core.slices import over_rows, spread
@@ -254,20 +255,21 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "vec_id", vecto
     """Density clusters of array points; noise is -1.
 
     Points are put in grid cells of width eps on their first ``cells`` coordinates; only neighbouring
-    cells are compared. Core points are joined into components by passing on the smallest label,
-    each round cut by a checkpoint. A border point joins the cluster of its nearest core.
+    cells are compared, block by block (``core.density``), so no pair becomes a row. Core points are joined into components
+    by passing on the smallest label, each round cut by a checkpoint. A border point joins the cluster of its nearest core.
+    Rows of one key are one point with several places; rows without a key or with a component that is no number are noise.
     """
-    dist = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q).cast("double") * (p - q).cast("double")), F.lit(0.0), lambda s, v: s + v))
-    at = lambda i: F.floor(C(vector)[i] / eps).cast("long")
-    base = durable(points.select(key, vector, F.array(*[at(i) for i in range(cells)]).alias("_cell")))
-    shift = base
-    for i in range(cells):
-        shift = shift.withColumn("_cell", F.explode(F.array(*[F.concat(F.slice("_cell", 1, i), F.array(C("_cell")[i] + s), F.slice("_cell", i + 2, cells)) for s in (-1, 0, 1)])))
-    other = shift.select(C(key).alias("_o"), C(vector).alias("_ov"), "_cell")
-    near = base.join(other, "_cell").withColumn("_dist", dist(C(vector), C("_ov"))).where(C("_dist") <= eps).select(key, "_o", "_dist")
-    near = durable(near)
-    core = durable(near.groupBy(key).agg(F.count("*").alias("_n")).where(C("_n") >= least).select(key))
-    edges = durable(near.join(core, key).join(core.select(C(key).alias("_o")), "_o").select(key, "_o"))
+    rows, pairs = density.blocked(points, key, vector, eps, cells)
+    of = rows.select("_r", C(key).alias("_k"))
+    count = density.neighbour_counts(rows, pairs, eps).join(of, "_r").groupBy("_k").agg(F.sum("_n").alias("_n"))
+    core = durable(count.where((C("_n") >= least) & C("_k").isNotNull()).select(C("_k").alias(key)))
+    if core.isEmpty():
+        return points.select(key, F.lit(-1).cast("long").alias("cluster"))
+    inner = rows.join(core, key)
+    name = lambda c, n: of.select(C("_r").alias(c), C("_k").alias(n))
+    one = density.links(inner, pairs, eps).join(name("_u", "_a"), "_u").join(name("_v", "_b"), "_v").select(C("_a").alias(key), C("_b").alias("_o")).distinct()
+    one = durable(one)
+    edges = durable(one.unionByName(one.select(C("_o").alias(key), C(key).alias("_o"))).unionByName(core.select(key, C(key).alias("_o"))).distinct())
     label = durable(core.withColumn("label", C(key)))
     while True:
         nxt = edges.join(label.select(C(key).alias("_o"), "label"), "_o").groupBy(key).agg(F.min("label").alias("label"))
@@ -278,7 +280,9 @@ def dbscan(points: DataFrame, eps: float, least: int, key: str = "vec_id", vecto
         label = jump
         if not moved:
             break
-    border = near.join(label.select(C(key).alias("_o"), "label"), "_o").groupBy(key).agg(F.min_by("label", F.struct("_dist", "_o")).alias("_b"))
+    marked = rows.join(core.select(key, C(key).alias("_core")), key, "left")
+    near = density.nearest_cores(marked, pairs, eps).join(of, "_r").groupBy("_k").agg(F.min_by("_o", F.struct("_d", "_o")).alias("_o"))
+    border = near.join(label.select(C(key).alias("_o"), "label"), "_o").select(C("_k").alias(key), C("label").alias("_b"))
     out = points.select(key).join(label, key, "left").join(border, key, "left")
     return out.select(key, F.coalesce("label", "_b", F.lit(-1)).cast("long").alias("cluster"))
 
