@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.slices import over_rows, spread
-from ..core.svd import truncated_svd
+from ..core.svd import decompose, packed
 from ..session import durable
 from .documents import tokens
-from .terms import tfidf
+from .terms import idf, weights
 
 C = F.col
 
@@ -49,14 +49,17 @@ def lsi(df: DataFrame, key: str, k: int = 10, text: str = "text", max_features:
     weight); ``documents`` (key, component, weight) for every document, 0 where it holds no term of the vocabulary.
     Documents without a key take no part. Stop words stay in unless ``max_df`` takes them.
     """
-    cells = durable(tfidf(df.where(C(key).isNotNull()), key, text, max_features, ngrams, min_df, max_df))
-    values, words, rows = truncated_svd(cells, key, k)
+    keyed = df.where(C(key).isNotNull())
+    known = idf(keyed, key, text, max_features, ngrams, min_df, max_df)
+    cells = packed(weights(keyed, key, known, text, ngrams), key, sorted(known))  # every term of the vocabulary is in some document
+    values, words, rows = decompose(cells, key, sorted(known), k)
     rows = durable(rows)
     every = df.where(C(key).isNotNull()).select(key).distinct()
     documents = every.join(values.select("component")).join(rows, [key, "component"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))  # k rows
     size = every.agg(F.count("*").alias("_n"))
     spread_of = lambda d, by, v: d.groupBy(by).agg(F.sum(v).alias("_s"), F.sum(C(v) * C(v)).alias("_q")).join(F.broadcast(size)).select(by, (C("_q") / C("_n") - C("_s") * C("_s") / C("_n") / C("_n")).alias("_var"))
-    total = spread_of(cells, "term", "weight").agg(F.sum("_var").alias("_total"))
+    each = cells.select(F.explode(F.arrays_zip("at", "cell")).alias("_z")).select(C("_z.at").alias("at"), C("_z.cell").alias("weight"))
+    total = spread_of(each, "at", "weight").agg(F.sum("_var").alias("_total"))
     own = spread_of(rows, "component", "weight")
     topics = values.join(own, "component").join(F.broadcast(total)).select("component", "value", (C("_var") / C("_total")).alias("ratio"))
     return topics, words, documents
@@ -76,8 +79,15 @@ def choose_topics(df: DataFrame, ks: Sequence[int], iterations: int = 5) -> Data
     return df.sparkSession.createDataFrame(out, "k int, log_perplexity double")
 
 
+WORDS_PER_PARTITION = 10_000_000
+
+
 def word2vec(df: DataFrame, text: str = "text", size: int = 100, window: int = 5, least: int = 5, iterations: int = 1, partitions: int = 4):
+    """Skip-gram word vectors of all words. ``partitions`` are trained side by side; a corpus of more than WORDS_PER_PARTITION words in each gets more of them,
+    so that one holds and trains a bounded number of words however large the corpus."""
     d = df.select(tokens(text).alias("tokens"))
+    words = d.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    partitions = max(partitions, -(-words // WORDS_PER_PARTITION))
     return Word2Vec(vectorSize=size, windowSize=window, minCount=least, maxIter=iterations, seed=3, numPartitions=partitions, inputCol="tokens", outputCol="v").fit(d)
 
 
