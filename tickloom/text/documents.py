@@ -22,9 +22,9 @@ def _c(t) -> Column:
     return C(t) if isinstance(t, str) else t
 
 
-def tokens(text) -> Column:
-    """Lower-case words, letters of any script."""
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD), F.lit(0))
+def tokens(text, least: int = 1) -> Column:
+    """Lower-case words of at least ``least`` characters, letters of any script."""
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD if least == 1 else WORD[:-1] + f"{{{least},}}"), F.lit(0))
 
 
 def sentences(text) -> Column:
